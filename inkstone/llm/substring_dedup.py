@@ -16,9 +16,9 @@ word below a node is covered by a repeat. The trees are never held whole:
    the suffixes in a node, the first in (doc_id, start) order is kept and all others
    are repeats; neighbouring repeats join into maximal repeats.
 
-Skew: before each exchange a task keeps one suffix per node and block of text and
-reports its other members directly to their documents, so a passage that is in a third
-of all rows sends one posting per block, not one per row. Labels are compared by
+Skew: before each exchange a task keeps one suffix per node for each million it has
+gathered and sends the other members directly to their documents, so a passage that is
+in a third of all rows sends a posting per task, not one per row. Labels are compared by
 hash: the chance that two of 10**13 windows collide is below 10**-3.
 
 Null texts have no words. Rows without a doc_id take no part and give no row. A doc_id
@@ -33,16 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textblocks import Block, blocks, kgrams, longs, mix
 
 WINDOW, PREFIX = 20, 8
-POSTING = "bucket int, doc_id bigint, label binary, docs binary, starts binary"
+SHORT, WIDE = 6, 12  # bytes of a label: a prefix's, whose collisions only cost work, and a node's
+POSTING = "to int, label binary, docs binary, starts binary"
 U = np.uint64
-_POSTING = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("label", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary())])
-_SPOTS = pa.schema([("doc_id", pa.int64()), ("starts", pa.binary())])
+_POSTING = pa.schema([("to", pa.int32()), ("label", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary())])
+_SPOTS = pa.schema([("doc_id", pa.int64()), ("spots", pa.binary())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("repeats", pa.list_(pa.list_(pa.int64())))])
 _INDEX_BITS = 28
 
@@ -70,103 +72,110 @@ def _rows(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _post(label: np.ndarray, doc: np.ndarray, start: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    """One block's suffixes: the first of each label goes to its bucket, the others to their documents.
+def _runs(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
+    cuts = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1], True]).tolist() if len(sorted_keys) else [0]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
 
-    label: (suffixes, columns) of uint64, the first column deals them out.
-    """
-    if not len(doc):
-        return
-    order = np.lexsort((start, doc, *label.T[::-1]))
-    label, doc, start = label[order], doc[order], start[order]
-    first = np.ones(len(doc), bool)
-    first[1:] = (label[1:] != label[:-1]).any(axis=1)
-    again = np.flatnonzero(~first)
-    yield from _spots(doc[again], start[again], posting=True)
-    if label.shape[1] == 1:  # the first of a repeated label is known to repeat as well
-        sure = np.flatnonzero(first & ~np.r_[first[1:], True])
-        yield from _spots(doc[sure], start[sure], posting=True)
-    head = np.flatnonzero(first)
-    bucket = (mix(label[head, 0]) % U(n)).astype(np.int32)
-    head = head[by := np.argsort(bucket, kind="stable")]
-    bucket = bucket[by]
-    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    ends = np.r_[cut[1:], len(bucket)]
-    wide = label.shape[1] > 1
-    codes = np.ascontiguousarray(label[head]).view(np.uint8).reshape(len(head), -1)[:, : 12 if wide else 6]
-    yield _rows(_POSTING, [bucket[cut], pa.nulls(len(cut), pa.int64()), pa.array([codes[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([doc[head[a:b]].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()), pa.array([start[head[a:b]].astype(np.int32).tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())])
-
-
-def _spots(doc: np.ndarray, start: np.ndarray, posting: bool = False) -> Iterator[pa.RecordBatch]:
-    """A row for each document: its starts, packed."""
-    if not len(doc):
-        return
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order].astype(np.int32)
-    cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    packed = pa.array([start[a:b].tobytes() for a, b in zip(cut, np.r_[cut[1:], len(doc)], strict=True)], pa.binary())
-    if posting:
-        none = pa.nulls(len(cut), pa.binary())
-        # dealt by document; negative buckets are not looked up
-        yield _rows(_POSTING, [(-1 - (mix(doc[cut].astype(U)) % U(1 << 20)).astype(np.int32)).astype(np.int32), doc[cut], none, none, packed])
-    else:
-        yield _rows(_SPOTS, [doc[cut], packed])
+
+def _dealt(to: np.ndarray, label: np.ndarray | None, doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """One row for each partition dealt to, its suffixes packed; rows without labels are repeats on their way to their documents."""
+    order = np.argsort(to, kind="stable")
+    to, doc, start = to[order], doc[order], start[order].astype(np.int32)
+    runs = _runs(to)
+    codes = pa.nulls(len(runs), pa.binary()) if label is None else pa.array([label[order[a:b]].tobytes() for a, b in runs], pa.binary())
+    return _rows(_POSTING, [to[[a for a, _ in runs]].astype(np.int32), codes, pa.array([doc[a:b].tobytes() for a, b in runs], pa.binary()), pa.array([start[a:b].tobytes() for a, b in runs], pa.binary())])
+
+
+def _to_documents(doc: np.ndarray, start: np.ndarray, n: int) -> pa.RecordBatch:
+    return _dealt((mix(doc.astype(U)) % U(n)).astype(np.int32), None, doc, start)
+
+
+class _Postings:
+    """A task's suffixes, gathered to a bounded number and then dealt out: the first of each label to the label's partition, the others to their documents'."""
+
+    most = 1 << 20
+
+    def __init__(self, n: int):
+        self.n, self.held, self.parts = n, 0, []
+
+    def add(self, label: np.ndarray, doc: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """label: (suffixes, columns) of uint64."""
+        self.parts.append((label, doc, start))
+        self.held += len(doc)
+        if self.held >= self.most:
+            yield from self.deal()
+
+    def deal(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        label, doc, start = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.held, self.parts = 0, []
+        order = np.lexsort((start, doc, *label.T[::-1]))
+        label, doc, start = label[order], doc[order], start[order]
+        first = np.ones(len(doc), bool)
+        first[1:] = (label[1:] != label[:-1]).any(axis=1)
+        known = ~first
+        wide = label.shape[1] > 1
+        if not wide:  # the first of a repeated prefix is known to repeat as well
+            known = known | ~np.r_[first[1:], True]
+        if known.any():
+            yield _to_documents(doc[known], start[known], self.n)
+        label, doc, start = label[first], doc[first], start[first]
+        codes = np.ascontiguousarray(label).view(np.uint8).reshape(len(doc), -1)[:, : WIDE if wide else SHORT]
+        yield _dealt((mix(label[:, 0]) % U(self.n)).astype(np.int32), codes, doc, start)
 
 
 def _prefix_postings(window: int, prefix: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Postings(n)
         for batch in batches:
             ids = longs(batch, "doc_id")
             for block in blocks(batch):
                 _, anchor, grams = anchors(block, window, prefix)
                 at = np.unique(anchor)
                 row = np.searchsorted(block.wo, at, "right") - 1
-                yield from _post(grams[at][:, None], ids[block.first_row + row], at - block.wo[row], n)
+                yield from out.add(grams[at][:, None], ids[block.first_row + row], at - block.wo[row])
+        yield from out.deal()
 
     return run
 
 
 def _node_postings(window: int, prefix: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Postings(n)
         for batch in batches:
             ids, spots = longs(batch, "doc_id"), batch.column("spots").to_pylist()
             for block in blocks(batch):
                 starts, anchor, _ = anchors(block, window, prefix)
                 crowded = np.zeros(len(block.ws) + 1, bool)
                 for r in range(block.n):
-                    for part in spots[block.first_row + r] or ():
-                        crowded[block.wo[r] + np.frombuffer(part, np.int32)] = True
+                    crowded[block.wo[r] + np.frombuffer(spots[block.first_row + r], np.int32)] = True
                 starts = starts[crowded[anchor]]
                 if not len(starts):
                     continue
                 one, _ = block.grams(window)
                 two, _ = kgrams(mix(block.word_hash + U(0x632BE59BD9B4E019)), block.wo, window)
                 row = np.searchsorted(block.wo, starts, "right") - 1
-                yield from _post(np.stack([one[starts], two[starts]], axis=1), ids[block.first_row + row], starts - block.wo[row], n)
+                yield from out.add(np.stack([one[starts], two[starts]], axis=1), ids[block.first_row + row], starts - block.wo[row])
+        yield from out.deal()
 
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], width: int) -> tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray]:
-    """What one partition was dealt: rows that pass through, and label, document, start of the rest."""
-    through, label, doc, start = [], [b""], [b""], [b""]
-    for batch in batches:
-        own = batch.column("label").is_valid()
-        if len(own) and (passed := batch.filter(own.cast(pa.int8()).to_numpy(zero_copy_only=False) == 0)).num_rows:
-            through.append(pa.RecordBatch.from_arrays([passed.column("doc_id"), passed.column("starts")], schema=_SPOTS))
-        posted = batch.filter(own)
-        for out, name in ((label, "label"), (doc, "docs"), (start, "starts")):
-            out += posted.column(name).to_pylist()
-    codes = np.frombuffer(b"".join(label), np.uint8).reshape(-1, width)
-    return through, codes, np.frombuffer(b"".join(doc), np.int64), np.frombuffer(b"".join(start), np.int32)
-
-
-def _groups(width: int, all_members: bool):
-    """Looks a partition's labels up: all members of a label with several, or all but the first."""
+def _groups(width: int, all_members: bool, n: int):
+    """Looks a partition's labels up: all members of a label with several, or all but the first, go to their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        through, codes, doc, start = _gathered(batches, width)
-        yield from through
+        label, doc, start = [b""], [b""], [b""]
+        for batch in batches:
+            own = batch.column("label").is_valid()
+            posted, passed = batch.filter(own), batch.filter(pa.compute.invert(own))
+            if passed.num_rows:
+                yield passed
+            for out, name in ((label, "label"), (doc, "docs"), (start, "starts")):
+                out += posted.column(name).to_pylist()
+        codes = np.frombuffer(b"".join(label), np.uint8).reshape(-1, width)
+        doc, start = np.frombuffer(b"".join(doc), np.int64), np.frombuffer(b"".join(start), np.int32)
         if not len(doc):
             return
         wide = np.zeros((len(doc), 16), np.uint8)
@@ -175,13 +184,28 @@ def _groups(width: int, all_members: bool):
         order = np.lexsort((start, doc, keys[:, 1], keys[:, 0]))
         keys, doc, start = keys[order], doc[order], start[order]
         same = (keys[1:] == keys[:-1]).all(axis=1)
-        later = np.r_[False, same]
-        hit = later | np.r_[same, False] if all_members else later
-        yield from _spots(doc[hit], start[hit])
+        hit = np.r_[False, same]
+        if all_members:
+            hit |= np.r_[same, False]
+        if hit.any():
+            yield _to_documents(doc[hit], start[hit], n)
 
     return run
 
 
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document of the partition: its starts, packed."""
+    docs, starts = [b""], [b""]
+    for batch in batches:
+        docs += batch.column("docs").to_pylist()
+        starts += batch.column("starts").to_pylist()
+    doc, start = np.frombuffer(b"".join(docs), np.int64), np.frombuffer(b"".join(starts), np.int32)
+    order = np.argsort(doc, kind="stable")
+    doc, start = doc[order], start[order]
+    runs = _runs(doc)
+    yield _rows(_SPOTS, [doc[[a for a, _ in runs]], pa.array([start[a:b].tobytes() for a, b in runs], pa.binary())])
+
+
 def cover(block: Block, row: int, starts: np.ndarray, window: int) -> np.ndarray:
     """Which words of the row lie in a window that begins at one of the starts."""
     n = int(block.n_words[row])
@@ -199,9 +223,8 @@ def _kept(window: int):
                 gone = np.zeros(len(block.ws), bool)
                 repeats: list[list[list[int]]] = [[] for _ in range(block.n)]
                 for r in range(block.n):
-                    if parts := spots[block.first_row + r]:
-                        starts = np.concatenate([np.frombuffer(p, np.int32) for p in parts])
-                        lost = cover(block, r, starts, window)
+                    if part := spots[block.first_row + r]:
+                        lost = cover(block, r, np.frombuffer(part, np.int32), window)
                         gone[block.wo[r] : block.wo[r + 1]] = lost
                         edge = np.flatnonzero(np.diff(np.r_[0, lost.astype(np.int8), 0]))
                         repeats[r] = edge.reshape(-1, 2).tolist()
@@ -236,10 +259,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     texts = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).repartition(n, "doc_id")
 
     def by_document(postings: DataFrame, width: int, all_members: bool) -> DataFrame:
-        found = postings.repartition(n, "bucket").mapInArrow(_groups(width, all_members), "doc_id bigint, starts binary")
-        return found.groupBy("doc_id").agg(F.collect_list("starts").alias("spots"))
+        found = postings.repartitionById(n, "to").mapInArrow(_groups(width, all_members, n), POSTING)
+        return found.repartitionById(n, "to").mapInArrow(_documents, "doc_id bigint, spots binary")
 
-    crowded = by_document(texts.mapInArrow(_prefix_postings(window, prefix, 16 * n), POSTING), 6, True)
-    again = by_document(texts.join(crowded, "doc_id").mapInArrow(_node_postings(window, prefix, 16 * n), POSTING), 12, False)
+    crowded = by_document(texts.mapInArrow(_prefix_postings(window, prefix, n), POSTING), SHORT, True)
+    again = by_document(texts.join(crowded, "doc_id").mapInArrow(_node_postings(window, prefix, n), POSTING), WIDE, False)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, repeats array<array<bigint>>"
     return texts.join(again, "doc_id", "left").mapInArrow(_kept(window), schema)
