@@ -3,8 +3,9 @@
 *Kernel.* Two strings are alike by the subsequences of three symbols they share, each
 occurrence weighted by DECAY for every symbol it skips (at most two in either place), over
 ``^string$`` and divided by the strings' norms. Skips are what tolerates gapped and
-inserted-character insults; marks inside a word are dropped and runs of single letters are
-read as one string, so ``s.t-upid`` and ``s t u p i d`` are whole again.
+inserted-character insults: doubled and, in longer words, foreign letters. Marks inside a
+word are dropped and runs of single letters are read as one string, so ``s.t-upid`` and
+``s t u p i d`` are whole again. A foreign letter inside a short word can still hide it.
 
 *Strings* are the words of sentences. A document's label holds for its sentences as a bag:
 in a toxic one some word is the witness, in a clean one none is. Training alternates
@@ -38,7 +39,7 @@ from .labelled import remainder, share_of_ones, training_sample
 from .textblocks import LOWER, Block, blocks
 
 PER_CLASS, MOST_BYTES, LANDMARKS, ROUNDS, THRESHOLD = 2500, 20_000, 384, 4, 0.7
-DECAY, SKIPS = 0.6, 3
+DECAY, SKIPS = 0.8, 3
 _SYMBOLS = 70  # 0 ends, 1-26 letters, 27-36 digits, 37-68 letters beyond ASCII by their last byte
 _DROP = 255
 _CODE = np.full(256, _DROP, np.uint8)
