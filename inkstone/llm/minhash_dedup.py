@@ -34,7 +34,7 @@ from .shared import components, cut
 from .textblocks import Block, blocks, longs, mix
 
 COORDINATES, MISS, SHINGLE = 32, 1e-7, 5
-PART = 512
+PART = 256
 HUBS = 8
 U = np.uint64
 _SEEDS = np.random.Generator(np.random.PCG64(97)).integers(1, 2**63, COORDINATES, dtype=np.uint64) * U(2) + U(1)
@@ -191,11 +191,15 @@ def _exact(percent: int, matches: int):
                     out += [(int(rep[root]), int(rep[i])) for i in hit]
                     rest = rest[~np.isin(rest, hit)]
         else:
+            tree = np.arange(len(rep))  # members that some hub has joined share a number; a hub joins each tree by one edge
             for r, own in zip(hub_rep, hubs.column("hub_members").to_pylist(), strict=True):
                 own = np.frombuffer(own, U)
                 near = np.flatnonzero((sig == signature(own)).sum(axis=1) >= matches)
                 hit = near[similar(own, [sets[i] for i in near], percent)]
-                out += [(int(r), int(rep[i])) for i in hit if rep[i] != r]
+                joined, first = np.unique(tree[hit], return_index=True)
+                out += [(int(r), int(rep[i])) for i in hit[first] if rep[i] != r]
+                if len(joined):
+                    tree[np.isin(tree, joined)] = joined[0]
         pairs = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]}, schema=_EDGES)
 
