@@ -112,7 +112,7 @@ def apply_tone(text: Column, tone: Column) -> Column:
 
 
 #: Every precomposed letter with a tone mark, and the letter without.
-_MARKED = "".join(m for v in "aeiouüAEIOUÜ" for m in (p.mark(v, t) for t in (1, 2, 3, 4)) if len(m) == 1)
+_MARKED = "".join(m for v in "aeiouüêAEIOUÜÊ" for m in (p.mark(v, t) for t in (1, 2, 3, 4)) if len(m) == 1)
 
 
 def strip_marks(text: Column) -> Column:

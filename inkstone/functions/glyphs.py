@@ -17,8 +17,11 @@ HAN = r"\p{IsHan}"
 _to_canonical = str.maketrans(CANONICAL)
 
 
+_variants = frozenset(CANONICAL)
+
+
 def canonical(text: str) -> str:
-    return text.translate(_to_canonical)
+    return text if _variants.isdisjoint(text) else text.translate(_to_canonical)
 
 
 def canonical_column(text: Column) -> Column:

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .phonology import Syllable, parse
+from .phonology import Syllable, parse, write
 
 DIGITS = "零一二三四五六七八九"
 LARGEST = 2**53 - 1  # whole numbers beyond it are not exact doubles, so they have no reading
@@ -19,6 +19,11 @@ QUANTITY = frozenset("零一二三四五六七八九〇两兩十百千万亿萬
 
 
 # ---- Columns --------------------------------------------------------------------------
+def bind(value: Column, function) -> Column:
+    """function(value) with the value computed once, however often the function names it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
 def _digit(d: Column) -> Column:
     return F.substring(F.lit(DIGITS), d.cast("int") + 1, F.lit(1))
 
@@ -27,33 +32,39 @@ def _group(g: Column, leading: Column, liang: str) -> Column:
     """A group of four digits; nothing for 0."""
     th, hu, te, on = (F.floor(g / k) % 10 for k in (1000, 100, 10, 1))
     two = {"always": F.lit(True), "leading": leading, "never": F.lit(False)}[liang]
-    nil = F.lit("")
     return F.concat(
-        F.when(th > 0, F.concat(F.when((th == 2) & two, "两").otherwise(_digit(th)), F.lit("千"))).otherwise(nil),
-        F.when(hu > 0, F.concat(_digit(hu), F.lit("百"))).otherwise(nil),
-        F.when((te > 0) & (hu == 0) & (th > 0), "零").otherwise(nil),
-        F.when(te > 0, F.concat(F.when((te == 1) & (g < 20) & leading, nil).otherwise(_digit(te)), F.lit("十"))).otherwise(nil),
-        F.when((on > 0) & (te == 0) & (g > 99), "零").otherwise(nil),
-        F.when(on > 0, _digit(on)).otherwise(nil),
+        F.when(th > 0, F.concat(F.when((th == 2) & two, "两").otherwise(_digit(th)), F.lit("千"))).otherwise(""),
+        F.when(hu > 0, F.concat(_digit(hu), F.lit("百"))).otherwise(""),
+        F.when((te > 0) & (hu == 0) & (th > 0), "零").otherwise(""),
+        F.when(te > 0, F.concat(F.when((te == 1) & (g < 20) & leading, "").otherwise(_digit(te)), F.lit("十"))).otherwise(""),
+        F.when((on > 0) & (te == 0) & (g > 99), "零").otherwise(""),
+        F.when(on > 0, _digit(on)).otherwise(""),
     )
 
 
 def cardinal_column(value: Column, liang: str = "always", counts: bool = False) -> Column:
     """A whole number's hanzi; null outside 0 to 2**53 - 1."""
-    n = value.cast("bigint")
-    groups = [F.floor(n / F.lit(10 ** (4 * k))) % 10000 for k in range(4)]
-    written = F.lit("")
-    two = liang != "never"
-    for k, g in enumerate(groups):
-        leading = n < F.lit(10 ** (4 * (k + 1)))
-        body = _group(g, leading, liang)
-        if k:
-            lone = (g == 2) & (F.lit(liang == "always") | (leading & F.lit(two)))
-            body = F.concat(F.when(lone, "两").otherwise(body), F.lit(GROUP_UNITS[k]))
-        gap = F.when((written != "") & (groups[k - 1] < 1000), "零").otherwise("") if k else F.lit("")
-        written = F.when(g == 0, written).otherwise(F.concat(body, gap, written))
-    whole = F.when(n == 0, "零").when((n == 2) & F.lit(counts and two), "两").otherwise(written)
-    return F.when(n.between(0, LARGEST), whole)
+    units = F.array(*(F.lit(u) for u in GROUP_UNITS))
+    places = F.array(*(F.lit(10 ** (4 * k)).cast("bigint") for k in range(5)))
+
+    def whole(n: Column) -> Column:
+        def add(acc: Column, k: Column) -> Column:
+            return bind(F.call_function('div', n, F.element_at(places, k + 1)) % 10000, lambda g: F.struct(F.when(g == 0, acc["text"]).otherwise(F.concat(body(g, k), gap(acc), acc["text"])).alias("text"), g.alias("below")))
+
+        def body(g: Column, k: Column) -> Column:
+            leading = n < F.coalesce(F.get(places, k + 1), F.lit(1 << 62))
+            lone = (k > 0) & (g == 2) & {"always": F.lit(True), "leading": leading, "never": F.lit(False)}[liang]
+            return F.concat(F.when(lone, "两").otherwise(_group(g, leading, liang)), F.get(units, k))
+
+        def gap(acc: Column) -> Column:
+            return F.when((acc["text"] != "") & (acc["below"] < 1000), "零").otherwise("")
+
+        start = F.struct(F.lit("").alias("text"), F.lit(0).cast("bigint").alias("below"))
+        written = F.aggregate(F.sequence(F.lit(0), F.lit(3)), start, add, lambda acc: acc["text"])
+        said = F.when(n == 0, "零").when((n == 2) & F.lit(counts and liang != "never"), "两").otherwise(written)
+        return F.when(n.between(0, LARGEST), said)
+
+    return bind(value.cast("bigint"), whole)
 
 
 def digits_column(text: Column, zero: str = "〇") -> Column:
@@ -63,17 +74,20 @@ def digits_column(text: Column, zero: str = "〇") -> Column:
 
 def numeral_column(text: Column, style: str = "cardinal", zero: str = "〇", liang: str = "always", counts: bool = False) -> Column:
     """A written number (sign, digits, optional fraction); null for anything else. Doubles should be cast to decimal first."""
-    s = text.cast("string")
-    found = [F.regexp_extract(s, r"^(-?)([0-9]+)(?:\.([0-9]+))?$", k) for k in (1, 2, 3)]
-    sign, whole, fraction = found
-    if style == "digits":
-        body = digits_column(whole, zero)
-    else:
-        n = F.when(F.length(F.ltrim(whole, F.lit("0"))) <= 16, whole.try_cast("bigint"))
-        plain = cardinal_column(n, liang, False)
-        body = F.when(fraction == "", cardinal_column(n, liang, True)).otherwise(plain) if counts else plain
-    point = F.when(fraction == "", "").otherwise(F.concat(F.lit("点"), digits_column(fraction, "零")))
-    return F.when(whole != "", F.concat(F.when(sign == "-", "负").otherwise(""), body, point))
+
+    def said(found: Column) -> Column:
+        if style == "digits":
+            body = digits_column(found["whole"], zero)
+        else:
+            n = F.when(F.length(F.ltrim(found["whole"], F.lit("0"))) <= 16, found["whole"].try_cast("bigint"))
+            body = cardinal_column(n, liang)
+            if counts:
+                body = F.when(found["fraction"] == "", cardinal_column(n, liang, True)).otherwise(body)
+        point = F.when(found["fraction"] == "", "").otherwise(F.concat(F.lit("点"), digits_column(found["fraction"], "零")))
+        return F.when(found["whole"] != "", F.concat(F.when(found["sign"] == "-", "负").otherwise(""), body, point))
+
+    part = lambda s, k: F.regexp_extract(s, r"^(-?)([0-9]+)(?:\.([0-9]+))?$", k)
+    return bind(text.cast("string"), lambda s: bind(F.struct(part(s, 1).alias("sign"), part(s, 2).alias("whole"), part(s, 3).alias("fraction")), said))
 
 
 def percent_column(text: Column, **options) -> Column:
@@ -93,14 +107,12 @@ def clock_column(hours: Column, minutes: Column) -> Column:
 
 def pinyin_column(hanzi: Column, notation: str = "marks", yao: bool = False) -> Column:
     """Syllables of numeral hanzi as an array; null if a character is no numeral."""
-    from .phonology import write
-
     spelt = {c: write(parse(r), notation) for c, r in READINGS.items()}
     if yao:
         spelt["一"] = write(parse("yāo"), notation)
     table = F.create_map(*(F.lit(x) for pair in spelt.items() for x in pair))
     read = F.transform(F.split(hanzi, ""), lambda c: F.try_element_at(table, c))
-    return F.when(F.forall(read, lambda x: x.isNotNull()), read)
+    return bind(read, lambda r: F.when(F.forall(r, lambda x: x.isNotNull()), r))
 
 
 # ---- Python values, for the decoder ---------------------------------------------------

@@ -110,4 +110,4 @@ def slug_of_words(words: list[str], separator: str = "-", max_length: int | None
 
 def slug_ascii_column(text: Column, separator: str = "-") -> Column:
     """Slugs of plain ASCII text."""
-    return F.trim(F.lit(separator), F.regexp_replace(F.lower(text), "[^a-z0-9]+", separator))
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", separator), F.lit(separator))

@@ -176,6 +176,7 @@ def parse(text: str) -> Syllable | None:
     return None
 
 
+@cache
 def write(syllable: Syllable, notation: str = "marks") -> str:
     """In marks, numbers, superscript or none; a tone that isn't written stays unwritten."""
     spelt = spelling(syllable)
@@ -195,6 +196,7 @@ INVENTORY = _inventory()
 _KNOWN = frozenset(INVENTORY)
 
 
+@cache
 def opens_with_vowel(text: str) -> bool:
     """Whether it needs an apostrophe inside a word: it begins with a, o or e."""
     return strip_marks(text)[:1].lower() in ("a", "o", "e") and bool(text)
