@@ -109,7 +109,7 @@ def oracle_sql() -> dict[str, str]:
     sql = {
         "numeral_cardinal": f"SELECT a.o_orderkey, a.hanzi, b.larger FROM ({_cardinal('orders', 'o_orderkey', 'o_orderkey')}) a JOIN ({_cardinal('orders', 'o_orderkey', 'o_orderkey * 1009', 'larger')}) b USING (o_orderkey)",
         "numeral_digits": f"SELECT o_orderkey, {_digits('o_orderkey')} AS hanzi FROM orders",
-        "numeral_liang_modes": "SELECT p_partkey, always, leading, never FROM " + " JOIN ".join(f"({_cardinal('part', 'p_partkey', 'p_partkey * 22 + 2', m, m)}) {m}_ " + ("" if k == 0 else "USING (p_partkey)") for k, m in enumerate(("always", "leading", "never"))).replace(" AS leading", " AS in_front").replace("always, leading, never FROM", "always, in_front, never FROM"),
+        "numeral_liang_modes": "SELECT p_partkey, always, in_front, never FROM " + " JOIN ".join(f"({_cardinal('part', 'p_partkey', 'p_partkey * 22 + 2', name, mode)}) {name}_{' USING (p_partkey)' if k else ''}" for k, (name, mode) in enumerate((("always", "always"), ("in_front", "leading"), ("never", "never")))),
         "numeral_percent": f"SELECT '百分之' || hanzi AS hanzi, count(*) AS n FROM lineitem JOIN ({_small}) ON k = CAST(round(abs(l_discount) * 100) AS INT) GROUP BY 1",
         "numeral_fraction": f"SELECT q.hanzi || '分之' || l.hanzi AS hanzi, count(*) AS n FROM lineitem JOIN ({_small}) l ON l.k = l_linenumber JOIN ({_small}) q ON q.k = CAST(l_quantity AS INT) GROUP BY 1",
         "numeral_decimal": f"SELECT p_partkey, hanzi || '点' || translate(split_part(CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR), '.', 2), '0123456789', '零一二三四五六七八九') AS hanzi FROM part JOIN ({_cardinal('part', 'p_partkey', 'floor(CAST(p_retailprice AS DECIMAL(12,2)))')}) USING (p_partkey)",
@@ -131,13 +131,13 @@ THEN CASE WHEN f LIKE '%4' THEN 'yi2' WHEN f IS NULL OR f LIKE '%5' THEN 'yi1' E
         "slug_ascii": "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' / ' || p_brand || ' / ' || p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part",
         "glyph_canonical": f"SELECT o_orderkey, {_canonical} AS canonical FROM orders",
         "glyph_hongkong": f"SELECT o_orderkey, translate({_canonical}, '{''.join(HONG_KONG)}', '{''.join(HONG_KONG.values())}') AS hong_kong FROM orders",
-        "run_split": r"SELECT p_partkey, CAST("at" - 1 AS INT) AS run_no, runs["at"] AS text, regexp_matches(runs["at"], '^\p{Han}') AS is_han FROM (SELECT p_partkey, runs, unnest(range(1, len(runs) + 1)) AS "at" FROM (SELECT p_partkey, regexp_extract_all(CAST(p_size AS VARCHAR) || '个' || p_name || '大小', '\p{Han}+|[^\p{Han}]+') AS runs FROM part))",
+        "run_split": r'''SELECT p_partkey, CAST("at" - 1 AS INT) AS run_no, runs["at"] AS text, regexp_matches(runs["at"], '^\p{Han}') AS is_han FROM (SELECT p_partkey, runs, unnest(range(1, len(runs) + 1)) AS "at" FROM (SELECT p_partkey, regexp_extract_all(CAST(p_size AS VARCHAR) || '个' || p_name || '大小', '\p{Han}+|[^\p{Han}]+') AS runs FROM part))''',
         "detect_script": f"SELECT o_orderkey, CASE WHEN hans > hant THEN 'Hans' WHEN hant > hans THEN 'Hant' END AS script FROM (SELECT o_orderkey, length(regexp_replace(t, '[^银长儿]', '', 'g')) AS hans, length(regexp_replace(t, '[^銀長兒]', '', 'g')) AS hant FROM (SELECT o_orderkey, text || CASE WHEN o_orderkey % 3 = 0 THEN '銀銀' ELSE '' END AS t FROM {_TEXTS}))",
         "character_histogram": f"SELECT lang, character, count(*) AS n FROM (SELECT lang, unnest(string_split({_NON_ASCII}, '')) AS character FROM documents) WHERE character <> '' GROUP BY 1, 2",
         "script_only_characters": f"SELECT min(lang) AS lang, character FROM (SELECT DISTINCT lang, unnest(string_split({_NON_ASCII}, '')) AS character FROM documents) WHERE character <> '' GROUP BY character HAVING count(*) = 1",
         "lattice_edges": f'SELECT run_id, CAST("start" AS INT) AS "start", CAST("end" AS INT) AS "end", ord, reading, round(cost, 4) AS cost FROM {_EDGES}',
         "cut_points": f'SELECT run_id, CAST("at" AS INT) AS "at" FROM (SELECT run_id, unnest(range(length(text) + 1)) AS "at" FROM {_RUNS}) p WHERE NOT EXISTS (SELECT 1 FROM {_EDGES} e WHERE e.run_id = p.run_id AND e."start" < p."at" AND p."at" < e."end")',
-        "reading_locks": f"""SELECT run_id, CAST("at" AS INT) AS "at", claims, claims = 1 AND (SELECT bool_and(o.claims = 1) FROM c o WHERE o.run_id = c.run_id AND o."at" >= s AND o."at" < e) AS locked
+        "reading_locks": f"""SELECT run_id, CAST("at" AS INT) AS "at", claims, claims = 1 AND (SELECT bool_and(o.claims = 1) FROM c o WHERE o.run_id = c.run_id AND o."at" >= c.s AND o."at" < c.e) AS locked
 FROM c""",
         "greedy_match": f"""WITH RECURSIVE best AS (SELECT run_id, "start", max(size) AS size FROM {_EDGES} GROUP BY 1, 2), walk AS (SELECT run_id, "start", size FROM best WHERE "start" = 0 UNION ALL SELECT b.run_id, b."start", b.size FROM walk w JOIN best b ON b.run_id = w.run_id AND b."start" = w."start" + w.size)
 SELECT run_id, CAST("start" AS INT) AS "start", substr(run_id, CAST("start" + 1 AS INT), CAST(size AS INT)) AS word FROM walk""",
