@@ -225,8 +225,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = sketches.where("n_shingles > 0").groupBy("shingles").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     classes = cut(classes)
 
-    posted = classes.select("rep", "signature").mapInArrow(_postings(COORDINATES - matches + 1, 16 * n), "bucket int, keys binary, reps binary, signatures binary")
-    candidates = posted.repartition(n, "bucket").mapInArrow(_merged(matches), "a bigint, b bigint")
+    posted = classes.select("rep", "signature").mapInArrow(_postings(COORDINATES - matches + 1, n), "bucket int, keys binary, reps binary, signatures binary")
+    candidates = posted.repartitionById(n, "bucket").mapInArrow(_merged(matches), "a bigint, b bigint")
     units = components(candidates).select(F.col("node").alias("doc_id"), F.col("component").alias("unit"))
     sizes = units.groupBy("unit").agg(F.ceil(F.count("*") / PART).alias("parts"))
     wanted = cut(units.join(sizes, "unit").join(classes.select(F.col("rep").alias("doc_id"), "shingles"), "doc_id"))
