@@ -45,8 +45,7 @@ def sentence_capitals(text: str) -> list[str]:
 
 
 def latin_punctuation(text: str) -> list[str]:
-    follows = [*text[1:], ""]
-    return [c if c not in LATIN else LATIN[c] + (" " if n not in ("", " ") else "") for c, n in zip(text, follows, strict=True)]
+    return [c if c not in LATIN else LATIN[c] + (" " if text[k + 1 : k + 2] not in ("", " ") else "") for k, c in enumerate(text)]
 
 
 def latin_punctuation_column(text: Column) -> Column:

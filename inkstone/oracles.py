@@ -68,7 +68,7 @@ def _dictionary() -> str:
     for e in sample.dictionary().entries.values():
         for rank, r in enumerate([e.reading, *(e.alternates if len(e.key) == 1 else ())]):
             rows.append((e.key, rank, len(e.key), " ".join(numbers(r)), len(r), e.cost + rank))
-    return _values(rows, "d(key, rank, size, reading, syllables, cost)")
+    return f"(SELECT key, rank, size, reading, syllables, CAST(cost AS DOUBLE) AS cost FROM {_values(rows, 'v(key, rank, size, reading, syllables, cost)')}) AS d"
 
 
 _EDGES = f"""(SELECT run_id, "at" AS "start", "at" + size AS "end", reading, syllables, cost, size, CAST(row_number() OVER (PARTITION BY run_id ORDER BY "at", size = 1, size, rank) - 1 AS INT) AS ord
@@ -151,10 +151,10 @@ SELECT u.run_id, CAST(u."start" AS INT) AS "start", CAST(u."end" AS INT) AS "end
         "claim_keys": """SELECT key, frequency FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY alias, frequency DESC, hans) AS r FROM (
 SELECT split_part(p_name, ' ', -1) AS key, 0 AS alias, p_partkey AS frequency, split_part(p_name, ' ', -1) AS hans FROM part UNION ALL SELECT upper(split_part(p_name, ' ', 1)), 1, p_partkey, split_part(p_name, ' ', -1) FROM part)) WHERE r = 1""",
         "tier_standard": "SELECT split_part(p_name, ' ', -1) AS hans, p_partkey AS frequency FROM part WHERE length(split_part(p_name, ' ', -1)) > 1 ORDER BY frequency DESC, hans LIMIT 100",
-        "frequency_buckets": "SELECT c_custkey, bucket, round(15 - bucket + 4.62, 2) AS cost FROM (SELECT c_custkey, CAST(least(15, floor(ln(1 + greatest(floor(c_acctbal), 0)) * (15 / ln(1 + (SELECT max(floor(c_acctbal)) FROM customer))) + 0.5)) AS INT) AS bucket FROM customer)",
+        "frequency_buckets": "SELECT c_custkey, bucket, round(CAST(15 - bucket AS DOUBLE) + CAST(4.62 AS DOUBLE), 2) AS cost FROM (SELECT c_custkey, CAST(least(15, floor(ln(1 + greatest(floor(c_acctbal), 0)) * (15 / ln(1 + (SELECT max(floor(c_acctbal)) FROM customer))) + 0.5)) AS INT) AS bucket FROM customer)",
         "argmax_tally": "SELECT p_brand AS brand, CASE WHEN grouping(l_linestatus) = 1 THEN '*' ELSE l_linestatus END AS key, l_returnflag AS flag, count(*) AS count FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY GROUPING SETS ((p_brand, l_returnflag, l_linestatus), (p_brand, l_returnflag))",
         "name_boundaries": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN coalesce(array_to_string(list_filter(range(1, len(string_split(p_name, ' '))), lambda k: (p_partkey + k) % 3 = 0), '.'), '') ELSE '' END AS boundaries FROM part",
-        "dictionary_lookup": f"SELECT word, count(*) AS n, any_value(d.reading) AS reading FROM (SELECT substr(text, 1, 2) AS word FROM {_TEXTS}) LEFT JOIN (SELECT * FROM {_dictionary()} WHERE rank = 0) d ON d.key = word GROUP BY 1",
+        "dictionary_lookup": f"SELECT word, count(*) AS n, any_value(d.reading) AS reading FROM (SELECT substr(text, 1, 2) AS word FROM {_TEXTS}) LEFT JOIN (SELECT * FROM {_dictionary()} WHERE rank = 0) AS d ON d.key = word GROUP BY 1",
     }
     for system in ("bopomofo", "wade_giles", "yale", "gwoyeu", "ipa"):
         sql[f"to_{system}"] = f"SELECT {system} AS written, count(*) AS n FROM {_joined(system)} GROUP BY 1"
