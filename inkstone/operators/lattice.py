@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.glyphs import canonical_column
+from ..functions.numerals import QUANTITY
 from ..plans.decoder import LONGEST, READING_CHARGE, UNKNOWN_COST
 
 
@@ -114,3 +115,54 @@ def claim_costs(edges: DataFrame) -> DataFrame:
     through = units(edges).join(edges.select("run_id", "ord", F.col("start").alias("e_start"), F.col("end").alias("e_end")), ["run_id", "ord"]).join(swept, "run_id")
     total = F.try_element_at("ahead", F.col("e_start")) + F.col("reading_cost") + F.try_element_at("back", F.col("e_end"))
     return through.withColumn("through", total).groupBy("run_id", "start", "end", "reading").agg(F.min("through").alias("cost"))
+
+
+def _nearest_words(runs: DataFrame, dictionary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The longest word of up to four characters that ends, and that begins, at each position: (run_id, at, tag, size)."""
+    words = substrings(runs, 4).join(dictionary.select(F.col("key").alias("_key"), F.coalesce("pos", F.lit("")).alias("tag")), F.col("key") == F.col("_key"))
+    sized = words.select("run_id", "start", "end", "tag", (F.col("end") - F.col("start")).alias("size"))
+
+    def longest(at: str) -> DataFrame:
+        best = sized.groupBy("run_id", F.col(at).alias("at")).agg(F.max_by(F.struct("tag", "size"), "size").alias("w"))
+        return best.select("run_id", "at", "w.tag", "w.size")
+
+    return longest("end"), longest("start")
+
+
+def verdicts(edges: DataFrame, runs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """edges and ``verdict``: force, forbid or null, by the first of the kernel's four rules that decides."""
+    before, after = _nearest_words(runs, dictionary)
+    near = lambda df, prefix: df.select(F.col("run_id").alias(f"{prefix}_run"), F.col("at").alias(f"{prefix}_at"), F.col("tag").alias(f"{prefix}_tag"), F.col("size").alias(f"{prefix}_size"))
+    suffixed = dictionary.where((F.char_length("key") == 2) & F.col("key").endswith("儿") & F.element_at("reading", -1).rlike(".r[0-5]?$")).select(F.col("key").alias("er_key"))
+    measures = dictionary.where((F.char_length("key") == 1) & (F.col("pos") == "q")).select(F.col("key").alias("q_key"))
+    rows = edges.join(runs.select("run_id", F.col("text").alias("run")), "run_id")
+    for df, prefix, place in ((before, "b", F.col("start")), (before, "t", F.col("end") - 1), (after, "a", F.col("end"))):
+        rows = rows.join(near(df, prefix), (F.col("run_id") == F.col(f"{prefix}_run")) & (place == F.col(f"{prefix}_at")), "left").drop(f"{prefix}_run", f"{prefix}_at")
+    rows = rows.join(suffixed, (F.col("start") > 0) & (F.col("text") == "儿") & (canonical_column(F.substring("run", F.col("start"), F.lit(2))) == F.col("er_key")), "left")
+    rows = rows.join(measures, canonical_column(F.substring("text", 1, 1)) == F.col("q_key"), "left")
+
+    tag = lambda c: F.coalesce(F.col(c), F.lit(""))
+    aligned = F.size("reading") == F.col("end") - F.col("start")
+    first, last = F.get("reading", F.lit(0)), F.try_element_at("reading", F.lit(-1))
+    modal = (F.col("text") == "得") & (first == "dei3") & tag("b_tag").isin("r", "d", "t") & tag("a_tag").rlike("^[vpda]")
+    follows = F.substring("run", F.col("end") + 1, F.lit(1))
+    teaching = ~tag("t_tag").startswith("u") & (follows.isin("了", "过", "過", "着", "著", "得") | tag("a_tag").isin("r", "n", "nz", "nr", "nt", "ng"))
+    single = F.col("text") == "教"
+    taught = single & (first == "jiao1") & teaching
+    untaught = ~single & (F.col("pos") == "") & F.col("text").endswith("教") & aligned & (last != "jiao1") & teaching
+    quantity = F.char_length(F.regexp_extract(F.substring("run", F.lit(1), F.col("start")), f"([{''.join(sorted(QUANTITY))}]+)$", 1))
+    ordinal = F.substring("run", F.col("start") - quantity, F.lit(1)) == "第"
+    counted = (F.col("end") - F.col("start") > 1) & aligned & (quantity > 0) & ~((F.col("start") > quantity) & ordinal) & (F.coalesce("b_size", F.lit(0)) <= quantity) & F.col("q_key").isNotNull() & (F.col("pos") != "q")
+    verdict = F.when(modal | taught, "force").when(untaught | F.col("er_key").isNotNull() | counted, "forbid")
+    return rows.select(*edges.columns, verdict.alias("verdict"))
+
+
+def ruled(edges: DataFrame, runs: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Edges without forbidden ones and rivals of forced ones; a run's edges are left as they are if no path would remain."""
+    decided = verdicts(edges, runs, dictionary)
+    span = Window.partitionBy("run_id", "start", "end")
+    kept = decided.withColumn("rivalled", F.max((F.col("verdict") == "force").cast("int")).over(span) == 1).where((F.col("verdict") == "force") | (F.col("verdict").isNull() & ~F.coalesce("rivalled", F.lit(False))))
+    ends = runs.select("run_id", F.char_length("text").alias("n"))
+    whole = shortest_paths(kept).join(kept.groupBy("run_id").agg(F.max("end").alias("reached")), "run_id").join(ends, "run_id").where(F.col("total").isNotNull() & (F.col("reached") == F.col("n"))).select("run_id")
+    unchanged = edges.join(whole, "run_id", "left_anti")
+    return kept.join(whole, "run_id", "left_semi").select(*edges.columns).unionByName(unchanged)

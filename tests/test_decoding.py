@@ -108,6 +108,22 @@ def test_edge_rules():
     assert [e.text for e in k.ruled(k.lattice(own, "玩儿"), own, "玩儿")[1]] == []
 
 
+def test_relational_rules_are_the_kernels(spark):
+    rows = [("我", "wo3", "r"), ("得", "de2", "ud", "dei3", "de5"), ("走", "zou3", "v"), ("教", "jiao4", "", "jiao1"), ("他", "ta1", "r"), ("三", "san1", "m"), ("个", "ge4", "q"), ("个人", "ge4 ren2", "n"), ("人", "ren2", "n"), ("玩", "wan2", "v"), ("儿", "er2", ""), ("玩儿", "wanr2", ""), ("第", "di4", ""), ("信教", "xin4 jiao4", ""), ("信", "xin4", "v"), ("了", "le5", "ul")]
+    frame = spark.createDataFrame([(w, r.split(), None, pos, False, [], 0, list(others)) for w, r, pos, *others in rows], d.DICTIONARY_DDL)
+    frame = frame.withColumn("cost", d.cost(F.col("bucket")))
+    own = d.collected(frame)
+    texts = ["我得走", "我教他", "三个人", "第三个人", "玩儿", "信教了", "信教他", "得走", "他教", "我得", "三三个人", "儿", "x得走"]
+    runs_ = spark.createDataFrame([(t, t) for t in texts], "run_id string, text string")
+    edges = relational.edges(runs_, frame)
+    found = {t: [] for t in texts}
+    for r in relational.ruled(edges, runs_, frame).orderBy("run_id", "ord").collect():
+        found[r.run_id].append((r.start, r.end, tuple(r.reading)))
+    for t in texts:
+        expected = k.ruled(k.lattice(own, t), own, t)
+        assert found[t] == [(e.start, e.end, tuple(d.numbers(e.reading))) for at in expected for e in at], t
+
+
 def test_grouping(dictionary):
     own = lambda *words: [(w.text, w.joint) for w in g.grouped(list(words), dictionary)]
     assert own(word("看", "v"), word("了", "ul")) == [("看了", " ")]
