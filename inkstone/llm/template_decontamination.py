@@ -12,11 +12,14 @@ through a shuffled hash join of windows. A document holds an item if it has at l
 of the item's distinct windows in either form; items of fewer words than a window are one
 window of their own length.
 
+A window of slots alone says nothing, so such a window keeps its values and meets copies only.
+
 *Slot consistency.* Matched windows are put side by side along the document's nearest
 alignment; an item's slot value must stand for one value of the document throughout, and
 different values for different ones. The share of slot places that agree must reach 80 %,
-else the overlap is a coincidence of templates and is not reported. Matches whose values
-differ are ``reparameterised``, the others ``copy``.
+and at least half of the item's matched words must be the same words, else the overlap is
+a coincidence of templates and is not reported. Matches whose values differ are
+``reparameterised``, the others ``copy``.
 
 Null and empty texts match nothing; items without words are no items. Rows without a
 doc_id or item_id take no part. A doc_id or item_id that occurs in several rows stands for
@@ -33,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import _SPACE, LOWER, Block, blocks, flat, kgrams, longs, mix, powers, rolling
+from .textblocks import LOWER, Block, blocks, flat, kgrams, longs, mix, powers, rolling
 
-WINDOW, SHARE, BROADCAST_WINDOWS = 5, 0.8, 4_000_000
+WINDOW, SHARE, SAME, BROADCAST_WINDOWS = 5, 0.8, 0.5, 4_000_000
 UNITS = "mm cm m km mi ft in g kg mg lb oz l ml s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent dollar dollars euro euros usd eur cent cents mph kmh mile miles meter meters metre metres foot feet inch inches pound pounds gram grams litre litres liter liters".split()
 U = np.uint64
 _NUMBER, _UNIT, _NAME = U(0xA5A5A5A5A5A5A501), U(0xA5A5A5A5A5A5A502), U(0xA5A5A5A5A5A5A503)
@@ -83,6 +86,18 @@ class Tokens:
         self.slot = number | unit | name
         self.wo = np.searchsorted(row, np.arange(block.n + 1))
         self.row = row
+        self.forms = ((self.named, self.slot), (self.plain, number | unit))
+
+    def windows(self, form: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the form's k-word windows, and which lie in one row; windows of slots alone keep their values."""
+        codes, slot = self.forms[form]
+        grams, whole = kgrams(codes, self.wo, k)
+        if len(grams):
+            slots = np.r_[0, np.cumsum(slot)]
+            bare = slots[k:] - slots[:-k] == k
+            if bare.any():
+                grams = np.where(bare, kgrams(self.value, self.wo, k)[0], grams)
+        return grams, whole
 
 
 MIXED = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -108,9 +123,9 @@ class Templates:
         if tokens is not None:
             self.value, self.slot, self.start = tokens.value, tokens.slot, tokens.wo
             size = np.diff(tokens.wo)
-            for form, codes in enumerate((tokens.named, tokens.plain)):
+            for form in (0, 1):
                 for k in range(1, WINDOW + 1):
-                    grams, whole = kgrams(codes, tokens.wo, k)
+                    grams, whole = tokens.windows(form, k)
                     at = np.flatnonzero(whole)
                     item = tokens.row[at]
                     own = size[item] == k if k < WINDOW else size[item] >= k
@@ -128,9 +143,9 @@ class Templates:
     def hits(self, tokens: Tokens) -> np.ndarray:
         """(row, form, item, place in the item, place in the row, words, entry) of equal windows."""
         out = []
-        for form, codes in enumerate((tokens.named, tokens.plain)):
+        for form in (0, 1):
             for k in self.lengths:
-                grams, whole = kgrams(codes, tokens.wo, k)
+                grams, whole = tokens.windows(form, k)
                 at = np.flatnonzero(self.filter[(grams & U((1 << 20) - 1)).astype(np.int64)] & whole)
                 low, high = np.searchsorted(self.hash, grams[at], "left"), np.searchsorted(self.hash, grams[at], "right")
                 at, low, n = at[high > low], low[high > low], (high - low)[high > low]
@@ -160,31 +175,32 @@ class Templates:
             matched = len(np.unique(self.hash[own[:, 6]]))
             if matched < SHARE * total:
                 continue
-            agreement, changed = self.agreement(tokens, own, row, item)
+            agreement, same, changed = self.agreement(tokens, own, row, item)
             found = (matched, total, agreement, "reparameterised" if changed else "copy")
-            if agreement >= SHARE and (old := out.get((row, item)), found[0] / found[1])[1] >= (old[0] / old[1] if old else 0):
+            old = out.get((row, item))
+            if agreement >= SHARE and same >= SAME and (old is None or matched / total >= old[0] / old[1]):
                 out[(row, item)] = found
         return out
 
-    def agreement(self, tokens: Tokens, own: np.ndarray, row: int, item: int) -> tuple[float, bool]:
-        """Share of slot places that fit one substitution of values, and whether any value changed."""
-        shift = own[:, 4] - own[:, 3]
-        main = Counter(shift.tolist()).most_common(1)[0][0]
+    def agreement(self, tokens: Tokens, own: np.ndarray, row: int, item: int) -> tuple[float, float, bool]:
+        """Share of slot places that fit one substitution of values, share of words that are the same, and whether any value changed."""
+        main = Counter((own[:, 4] - own[:, 3]).tolist()).most_common(1)[0][0]
         pairs: dict[int, tuple[int, int]] = {}  # place in the item -> distance, place in the row
         for place, at, k in own[:, 3:6].tolist():
+            far = abs(at - place - main)
             for j in range(k):
-                if self.slot[self.start[item] + place + j] and (place + j not in pairs or abs(at - place - main) < pairs[place + j][0]):
-                    pairs[place + j] = (abs(at - place - main), at + j)
-        if not pairs:
-            return 1.0, False
+                if place + j not in pairs or far < pairs[place + j][0]:
+                    pairs[place + j] = (far, at + j)
+        values = {p: (int(self.value[self.start[item] + p]), int(tokens.value[tokens.wo[row] + q])) for p, (_, q) in pairs.items()}
+        same = sum(x == y for x, y in values.values()) / len(values)
+        seen = [values[p] for p in values if self.slot[self.start[item] + p]]
         forth: dict[int, Counter] = defaultdict(Counter)
         back: dict[int, Counter] = defaultdict(Counter)
-        seen = [(int(self.value[self.start[item] + p]), int(tokens.value[tokens.wo[row] + q])) for p, (_, q) in pairs.items()]
         for x, y in seen:
             forth[x][y] += 1
             back[y][x] += 1
         fits = sum(forth[x].most_common(1)[0][0] == y and back[y].most_common(1)[0][0] == x for x, y in seen)
-        return fits / len(seen), any(x != y for x, y in seen)
+        return fits / len(seen) if seen else 1.0, same, any(x != y for x, y in seen)
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -235,9 +251,9 @@ def _windows(key: str):
             ids = longs(batch, key)
             for block in blocks(batch):
                 tokens = Tokens(block)
-                for codes in (tokens.named, tokens.plain):
+                for form in (0, 1):
                     for k in range(1, WINDOW + 1):
-                        grams, whole = kgrams(codes, tokens.wo, k)
+                        grams, whole = tokens.windows(form, k)
                         at = np.flatnonzero(whole)
                         if key == "item_id" and k < WINDOW:
                             at = at[np.diff(tokens.wo)[tokens.row[at]] == k]
