@@ -32,6 +32,7 @@ from pyspark.sql.window import Window
 from .shared import cut
 
 TARGET_ENTROPY, MAX_PASSES, BUCKET, GRID, ROUNDS, SEED = 0.95, 4.0, 4096, 64, 4, 17
+BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -85,7 +86,8 @@ def mixture(docs: DataFrame, budget: int | None = None, target: float = TARGET_E
     plan = sources.select("source", "source_tokens", F.round(raw / F.lit(norm), 9).alias("weight"), quota.alias("quota"), F.ceil(F.col("source_docs") / BUCKET).alias("buckets"))
     plan = plan.withColumn("passes", F.floor(F.col("quota") / F.col("source_tokens")).cast("bigint")).withColumn("rest", F.col("quota") - F.col("passes") * F.col("source_tokens"))
 
-    # source is the only key, and may be hot: the plan is a row each, so the join needs no grouping
+    # the source is the only key, and may be hot: the plan, a row a source, goes to the documents where its size allows
+    plan = F.broadcast(plan) if sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else plan
     blocks = sized.join(plan, "source").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("passes"))))
     place = F.xxhash64(F.lit(seed), "block", "doc_id")
     blocks = blocks.select("source", "block", "doc_id", "n_tokens", "weight", "quota", "source_tokens", "passes", "rest", place.alias("place"), F.pmod(F.shiftrightunsigned(place, 20), F.col("buckets")).cast("bigint").alias("bucket"))
