@@ -42,7 +42,7 @@ def regional(text: str, region: str, sounds=()) -> str:
 
 def runs_column(text: Column) -> Column:
     """Maximal Han and non-Han runs, in order: array<struct<text, is_han>>."""
-    parts = F.regexp_extract_all(text, F.lit(f"({HAN}+|[^{HAN[0:]}]+)"), F.lit(1))
+    parts = F.regexp_extract_all(text, F.lit(f"({HAN}+|[^{HAN}]+)"), F.lit(1))
     return F.transform(parts, lambda x: F.struct(x.alias("text"), x.rlike(f"^{HAN}").alias("is_han")))
 
 

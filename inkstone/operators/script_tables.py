@@ -110,6 +110,35 @@ def written(tables: dict[str, DataFrame]) -> DataFrame:
     return out.select(F.regexp_replace("line", "\t+$", "").alias("line"))
 
 
+CURRENT_USES, CURRENT_SHARE = 10, 0.05
+
+
+def character_counts(words: DataFrame, column: str) -> DataFrame:
+    """(character, n): how often each character is written in the words."""
+    return words.select(F.explode(F.split(F.col(column), "")).alias("character")).where("character <> ''").groupBy("character").agg(F.count("*").alias("n"))
+
+
+def derived_glyphs(taiwan: DataFrame, hong_kong: DataFrame, simplified: DataFrame, traditional: DataFrame) -> DataFrame:
+    """(kind, source, to) from regional variant tables (character, forms) and character counts of words in either script.
+
+    canonical: a variant and Taiwan's form; hong_kong: Taiwan's form and Hong Kong's;
+    excluded: variants that are characters in their own right, because simplified words use
+    them or traditional ones do often. Where keys disagree the last by code point counts.
+    """
+    keys = taiwan.select("character").union(hong_kong.select("character")).distinct()
+    rows = keys.join(taiwan.withColumnRenamed("forms", "tw"), "character", "left").join(hong_kong.withColumnRenamed("forms", "hk"), "character", "left")
+    none = F.array().cast("array<string>")
+    rows = rows.select("character", F.coalesce(F.get("tw", F.lit(0)), "character").alias("target"), F.coalesce(F.get("hk", F.lit(0)), "character").alias("regional"), F.array_distinct(F.concat(F.array("character"), F.coalesce("tw", none), F.coalesce("hk", none))).alias("spellings"))
+    regional = rows.where("target <> regional").groupBy(F.col("target").alias("source")).agg(F.max_by("regional", "character").alias("to")).select(F.lit("hong_kong").alias("kind"), "source", "to")
+    spelt = rows.select("character", "target", F.explode("spellings").alias("source")).where("source <> target").join(rows.select(F.col("target").alias("source")).distinct(), "source", "left_anti")
+    uses = lambda df, key, name: df.select(F.col("character").alias(key), F.col("n").alias(name))
+    counted = spelt.join(uses(simplified, "source", "hans"), "source", "left").join(uses(traditional, "source", "hant"), "source", "left").join(uses(traditional, "target", "settled"), "target", "left")
+    often = (F.coalesce("hant", F.lit(0)) >= CURRENT_USES) & (F.coalesce("hant", F.lit(0)) > F.coalesce("settled", F.lit(0)) * CURRENT_SHARE)
+    current = (F.coalesce("hans", F.lit(0)) > 0) | often
+    kinds = counted.select("source", "target", "character", F.when(current, "excluded").otherwise("canonical").alias("kind"))
+    return kinds.groupBy("kind", "source").agg(F.max_by("target", "character").alias("to")).unionByName(regional)
+
+
 def glyph_differences(derived: DataFrame, kept: DataFrame) -> DataFrame:
     """(source, to, only_in): pairs that one of two glyph tables has and the other hasn't."""
     return derived.exceptAll(kept).withColumn("only_in", F.lit("derived")).unionByName(kept.exceptAll(derived).withColumn("only_in", F.lit("kept")))

@@ -152,8 +152,7 @@ def stored_dictionary(spark: SparkSession, keys: str, entries: str) -> DataFrame
     """(key, line) of two parallel files, matched by line number."""
 
     def numbered(path: str, name: str) -> DataFrame:
-        whole = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("at", name))
-        return whole
+        return spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("at", name))
 
     return numbered(keys, "key").join(numbered(entries, "line"), "at").select("key", "line")
 

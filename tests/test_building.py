@@ -108,6 +108,14 @@ def test_script_tables(spark):
     assert {(r.to, r.only_in) for r in script_tables.glyph_differences(a, b).collect()} == {("y", "derived"), ("z", "kept")}
 
 
+def test_derived_glyphs(spark):
+    forms = lambda *rows: spark.createDataFrame(list(rows), "character string, forms array<string>")
+    counts = lambda words: script_tables.character_counts(spark.createDataFrame([(w,) for w in words], "w string"), "w")
+    taiwan, hong_kong = forms(("爲", ["為"]), ("床", ["床"]), ("着", ["著"]), ("才", ["才"])), forms(("床", ["牀"]), ("爲", ["為"]), ("才", ["纔"]))
+    found = script_tables.derived_glyphs(taiwan, hong_kong, counts(["着急"]), counts(["纔"] * 12 + ["才"]))
+    assert {(r.kind, r.source, r.to) for r in found.collect()} == {("canonical", "爲", "為"), ("canonical", "牀", "床"), ("excluded", "着", "著"), ("excluded", "纔", "才"), ("hong_kong", "床", "牀"), ("hong_kong", "才", "纔"), ("hong_kong", "著", "着")}
+
+
 def test_metrics(spark):
     assert metrics.case_counts("Nǐ hǎo.", "nǐhǎo") == (1, 0, 2, 2, 2, 2, 1, 1, 2, 1)
     df = spark.createDataFrame([("Nǐ hǎo", "Nǐ hǎo"), ("yín háng", "yínxíng"), (None, "")], "e string, a string")
