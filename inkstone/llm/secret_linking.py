@@ -7,7 +7,7 @@ of their lengths, taken in chunks so that texts with very many matches stay line
 the code-point offsets.
 
 *Weak candidates* are parts that prove nothing alone: values of 40 base64 characters
-(``part``) and service addresses (``endpoint``). They are reported only where parts that
+(``part``; one may stand directly after a ``=``, as in ``NAME=value``) and service addresses (``endpoint``). They are reported only where parts that
 complement each other co-occur in a scope. A scope is an access identifier's
 neighbourhood, SCOPE code points to either side. Candidates and access identifiers of a
 document meet in an interval join: both are posted under the SCOPE-wide bins they touch,
@@ -34,7 +34,7 @@ CHUNK = 256
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
-PART = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
+PART = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
 ENDPOINT = r"https?://[^\s\"'<>]+"
 KINDS = ("assign", "access", "hex", "part", "endpoint")
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"

@@ -68,6 +68,26 @@ def test_weak_parts_need_their_complement(spark):
         assert found[k] == listed(sorted(spans)), k
 
 
+def test_parts_directly_after_an_equals_sign(spark):
+    url = "https://s3.example.com/x"
+    cases = {
+        1: (f"AWS_ACCESS_KEY_ID={ID}\nAWS_SECRET_ACCESS_KEY={KEY40}\nS3={url}", [KEY40, url]),
+        2: (f'AWS_ACCESS_KEY_ID="{ID}"\nAWS_SECRET_ACCESS_KEY="{KEY40}"', [KEY40]),
+        3: (f"AccessKeyId={ID};SecretAccessKey={KEY40};", [KEY40]),
+        4: (f'{{"AccessKeyId": "{ID}", "SecretAccessKey": "{KEY40}", "Endpoint": "{url}"}}', [KEY40, url]),
+        5: (f"id={ID} sum={KEY40}= {url}", []),  # padded, so longer than a secret
+        6: (f"id={ID} sum={KEY40}A {url}", []),
+        7: (f"AWS_SECRET_ACCESS_KEY={KEY40}", []),  # no access identifier
+    }
+    df = table(spark, [(k, t) for k, (t, _) in cases.items()])
+    found = {r[0]: r[5] for r in run(df)}
+    masked = {r.doc_id: r.text for r in s.masked(df).collect()}
+    for k, (text, weak) in cases.items():
+        spans = base(text) + [(text.index(x), s.KINDS.index("part" if x == KEY40 else "endpoint"), text.index(x) + len(x)) for x in weak]
+        assert found[k] == listed(sorted(spans)), k
+        assert not any(x in masked[k] for x in weak), k
+
+
 def test_masking(spark):
     rows = [(1, f"a \U0001f600 password=hunter22 z {ID} q"), (2, None), (3, "clean"), (4, f"secret={'ab' * 14}")]
     df = table(spark, rows).selectExpr("*", "cast(char_length(text) as bigint) as n_chars")
