@@ -13,6 +13,10 @@ of the item's distinct windows in either form; items of fewer words than a windo
 window of their own length.
 
 A window of slots alone says nothing, so such a window keeps its values and meets copies only.
+Changed values would lose it, so an item with other windows, too, is also held by 80 % of
+those alone; what only windows of slots cover must then have the same types of slots where
+the nearest alignment puts it. ``matched``, ``windows`` and ``share`` are those of all
+windows where these suffice, else of the windows with words.
 
 *Slot consistency.* Matched windows are put side by side along the document's nearest
 alignment; an item's slot value must stand for one value of the document throughout, and
@@ -88,16 +92,17 @@ class Tokens:
         self.row = row
         self.forms = ((self.named, self.slot), (self.plain, number | unit))
 
-    def windows(self, form: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the form's k-word windows, and which lie in one row; windows of slots alone keep their values."""
+    def windows(self, form: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the form's k-word windows, which lie in one row, and which are slots alone; those keep their values."""
         codes, slot = self.forms[form]
         grams, whole = kgrams(codes, self.wo, k)
+        bare = np.zeros(len(grams), bool)
         if len(grams):
             slots = np.r_[0, np.cumsum(slot)]
             bare = slots[k:] - slots[:-k] == k
             if bare.any():
                 grams = np.where(bare, kgrams(self.value, self.wo, k)[0], grams)
-        return grams, whole
+        return grams, whole, bare
 
 
 MIXED = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
@@ -118,24 +123,27 @@ class Templates:
     def __init__(self, ids: np.ndarray, texts: list[str]):
         tokens = Tokens(_block_of(texts)) if len(texts) else None
         self.ids, self.value, self.slot, self.start = ids, np.zeros(0, U), np.zeros(0, bool), np.zeros(1, int)
-        entries = []  # hash, form, item, place, words
+        entries = []  # hash, form, item, place, words, whether slots alone
         self.total: dict[tuple[int, int], int] = {}
+        self.worded: dict[tuple[int, int], int] = {}  # windows that are not slots alone
+        self.forms = tokens.forms if tokens is not None else ()
         if tokens is not None:
             self.value, self.slot, self.start = tokens.value, tokens.slot, tokens.wo
             size = np.diff(tokens.wo)
             for form in (0, 1):
                 for k in range(1, WINDOW + 1):
-                    grams, whole = tokens.windows(form, k)
+                    grams, whole, bare = tokens.windows(form, k)
                     at = np.flatnonzero(whole)
                     item = tokens.row[at]
                     own = size[item] == k if k < WINDOW else size[item] >= k
                     at, item = at[own], item[own]
-                    entries.append((grams[at], np.full(len(at), form), item, at - tokens.wo[item], np.full(len(at), k)))
-                    for i in np.unique(item):
-                        self.total[(form, int(i))] = len(np.unique(grams[at[item == i]]))
-        joined = [np.concatenate(x) for x in zip(*entries, strict=True)] if entries else [np.zeros(0, U), *[np.zeros(0, int)] * 4]
+                    entries.append((grams[at], np.full(len(at), form), item, at - tokens.wo[item], np.full(len(at), k), bare[at]))
+                    for number, some in ((self.total, np.ones(len(at), bool)), (self.worded, ~bare[at])):
+                        pairs = np.unique(np.stack([item[some].astype(U), grams[at[some]]], axis=1), axis=0)
+                        number.update({(form, int(i)): int(n) for i, n in zip(*np.unique(pairs[:, 0], return_counts=True), strict=True)})
+        joined = [np.concatenate(x) for x in zip(*entries, strict=True)] if entries else [np.zeros(0, U), *[np.zeros(0, int)] * 4, np.zeros(0, bool)]
         order = np.argsort(joined[0], kind="stable")
-        self.hash, self.form, self.item, self.place, self.words = (x[order] for x in joined)
+        self.hash, self.form, self.item, self.place, self.words, self.bare = (x[order] for x in joined)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.hash & U((1 << 20) - 1)).astype(np.int64)] = True
         self.lengths = sorted({int(k) for k in np.unique(self.words)})
@@ -145,7 +153,7 @@ class Templates:
         out = []
         for form in (0, 1):
             for k in self.lengths:
-                grams, whole = tokens.windows(form, k)
+                grams, whole, _ = tokens.windows(form, k)
                 at = np.flatnonzero(self.filter[(grams & U((1 << 20) - 1)).astype(np.int64)] & whole)
                 low, high = np.searchsorted(self.hash, grams[at], "left"), np.searchsorted(self.hash, grams[at], "right")
                 at, low, n = at[high > low], low[high > low], (high - low)[high > low]
@@ -158,9 +166,10 @@ class Templates:
         return np.concatenate(out) if out else np.zeros((0, 7), int)
 
     def matches(self, tokens: Tokens) -> dict[tuple[int, int], tuple[int, int, float, str]]:
-        """(row, item) -> matched windows, windows, agreement, kind: the better of the two forms."""
+        """(row, item) -> matched windows, windows, agreement, kind: by all windows rather than by those with words, and the better of the two forms."""
         hits = self.hits(tokens)
         out: dict[tuple[int, int], tuple[int, int, float, str]] = {}
+        rank: dict[tuple[int, int], tuple[bool, float]] = {}
         if not len(hits):
             return out
         order = np.lexsort((hits[:, 4], hits[:, 3], hits[:, 1], hits[:, 2], hits[:, 0]))
@@ -168,22 +177,26 @@ class Templates:
         cuts = np.flatnonzero(np.r_[True, (hits[1:, :3] != hits[:-1, :3]).any(axis=1), True])
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             row, form, item = (int(x) for x in hits[a, :3])
-            total = self.total[(form, item)]
-            if b - a < SHARE * total:
-                continue
             own = hits[a:b]
-            matched = len(np.unique(self.hash[own[:, 6]]))
-            if matched < SHARE * total:
-                continue
-            agreement, same, changed = self.agreement(tokens, own, row, item)
-            found = (matched, total, agreement, "reparameterised" if changed else "copy")
-            old = out.get((row, item))
-            if agreement >= SHARE and same >= SAME and (old is None or matched / total >= old[0] / old[1]):
-                out[(row, item)] = found
+            bare = self.bare[own[:, 6]]
+            for every, total, used in ((True, self.total[(form, item)], own), (False, self.worded.get((form, item), 0), own[~bare])):
+                if not total or len(used) < SHARE * total or not every and total == self.total[(form, item)]:
+                    continue
+                matched = len(np.unique(self.hash[used[:, 6]]))
+                if matched < SHARE * total:
+                    continue
+                agreement, same, changed = self.agreement(tokens, used, row, item, None if every else form)
+                if agreement >= SHARE and same >= SAME and (every, matched / total) >= rank.get((row, item), (False, 0.0)):
+                    rank[(row, item)] = (every, matched / total)
+                    out[(row, item)] = (matched, total, agreement, "reparameterised" if changed else "copy")
+                    break
         return out
 
-    def agreement(self, tokens: Tokens, own: np.ndarray, row: int, item: int) -> tuple[float, float, bool]:
-        """Share of slot places that fit one substitution of values, share of words that are the same, and whether any value changed."""
+    def agreement(self, tokens: Tokens, own: np.ndarray, row: int, item: int, form: int | None = None) -> tuple[float, float, bool]:
+        """Share of slot places that fit one substitution of values, share of words that are the same, and whether any value changed.
+
+        With a form, places that only its windows of slots alone cover count as well.
+        """
         main = Counter((own[:, 4] - own[:, 3]).tolist()).most_common(1)[0][0]
         pairs: dict[int, tuple[int, int]] = {}  # place in the item -> distance, place in the row
         for place, at, k in own[:, 3:6].tolist():
@@ -192,7 +205,17 @@ class Templates:
                 if place + j not in pairs or far < pairs[place + j][0]:
                     pairs[place + j] = (far, at + j)
         values = {p: (int(self.value[self.start[item] + p]), int(tokens.value[tokens.wo[row] + q])) for p, (_, q) in pairs.items()}
-        same = sum(x == y for x, y in values.values()) / len(values)
+        missed = 0  # places without their type of slot
+        for p in self.covered_by_slots(item, form) if form is not None else ():
+            if p in values:
+                continue
+            q = p + main
+            i, j = self.start[item] + p, tokens.wo[row] + q
+            if 0 <= q and j < tokens.wo[row + 1] and self.forms[form][0][i] == tokens.forms[form][0][j]:
+                values[p] = (int(self.value[i]), int(tokens.value[j]))
+            else:
+                missed += 1
+        same = sum(x == y for x, y in values.values()) / (len(values) + missed)
         seen = [values[p] for p in values if self.slot[self.start[item] + p]]
         forth: dict[int, Counter] = defaultdict(Counter)
         back: dict[int, Counter] = defaultdict(Counter)
@@ -200,7 +223,14 @@ class Templates:
             forth[x][y] += 1
             back[y][x] += 1
         fits = sum(forth[x].most_common(1)[0][0] == y and back[y].most_common(1)[0][0] == x for x, y in seen)
-        return fits / len(seen) if seen else 1.0, same, any(x != y for x, y in seen)
+        return fits / (len(seen) + missed) if seen else 1.0, same, missed > 0 or any(x != y for x, y in seen)
+
+    def covered_by_slots(self, item: int, form: int) -> list[int]:
+        """Places of the item all of whose windows in the form are slots alone."""
+        a, b = int(self.start[item]), int(self.start[item + 1])
+        words = np.r_[0, np.cumsum(~self.forms[form][1][a:b])]
+        p = np.arange(b - a)
+        return p[words[np.minimum(p + WINDOW, b - a)] == words[np.maximum(p - WINDOW + 1, 0)]].tolist()
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -244,7 +274,7 @@ def _looked_up(shared):
 
 
 def _windows(key: str):
-    """Distinct (key, window hash) of both forms; short texts give one window of their length."""
+    """Distinct (key, window hash, whether slots alone) of each form; short items give one window of their length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,24 +283,36 @@ def _windows(key: str):
                 tokens = Tokens(block)
                 for form in (0, 1):
                     for k in range(1, WINDOW + 1):
-                        grams, whole = tokens.windows(form, k)
+                        grams, whole, bare = tokens.windows(form, k)
                         at = np.flatnonzero(whole)
                         if key == "item_id" and k < WINDOW:
                             at = at[np.diff(tokens.wo)[tokens.row[at]] == k]
-                        pairs = np.unique(np.stack([ids[block.first_row + tokens.row[at]].astype(U), grams[at]], axis=1), axis=0)
-                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int64)), pa.array(pairs[:, 1].astype(np.int64))], [key, "window"])
+                        rows = np.unique(np.stack([ids[block.first_row + tokens.row[at]].astype(U), grams[at], bare[at].astype(U)], axis=1), axis=0)
+                        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].astype(np.int64)), pa.array(rows[:, 1].astype(np.int64)), pa.array(rows[:, 2] == 1)], [key, "window", "bare"])
 
     return run
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of an item's row in one form: all, and those with words if there are any."""
+    for batch in batches:
+        ids = longs(batch, "item_id")
+        templates = Templates(ids, batch.column("text").to_pylist())
+        found = list(templates.total)
+        columns = [pa.array([int(ids[i]) for _, i in found], pa.int64()), pa.array([templates.total[x] for x in found], pa.int64()), pa.array([templates.worded.get(x) for x in found], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["item_id", "windows", "worded"])
+
+
 def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
     """For benchmarks of any size: documents and items that share a window meet, then match as above."""
-    left = docs.mapInArrow(_windows("doc_id"), "doc_id bigint, window bigint")
-    right = items.mapInArrow(_windows("item_id"), "item_id bigint, window bigint").distinct()
-    total = right.groupBy("item_id").agg(F.count("*").alias("windows"))
-    # half the windows of one form at least: both forms together are at most twice as many
-    near = left.join(right, "window").groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("shared"))
-    near = near.join(total, "item_id").where(F.col("shared") >= F.lit(SHARE / 2) * F.col("windows")).select("doc_id", "item_id")
+    left = docs.mapInArrow(_windows("doc_id"), "doc_id bigint, window bigint, bare boolean").select("doc_id", "window")
+    right = items.mapInArrow(_windows("item_id"), "item_id bigint, window bigint, bare boolean").groupBy("item_id", "window").agg(F.min("bare").alias("bare"))
+    worded = F.count_distinct(F.when(~F.col("bare"), F.col("window")))
+    # enough windows of one row and form of the item, be it all of them or those with words
+    total = items.mapInArrow(_totals, "item_id bigint, windows bigint, worded bigint").groupBy("item_id").agg(F.min("windows").alias("windows"), F.min("worded").alias("worded"))
+    near = left.join(right, "window").groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("shared"), worded.alias("shared_worded"))
+    enough = (F.col("shared") >= F.lit(SHARE) * F.col("windows")) | F.coalesce(F.col("shared_worded") >= F.lit(SHARE) * F.col("worded"), F.lit(False))
+    near = near.join(total, "item_id").where(enough).select("doc_id", "item_id")
     pairs = near.join(docs, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

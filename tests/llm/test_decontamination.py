@@ -69,6 +69,27 @@ def test_templates_of_slots_alone_are_no_evidence(spark):
     assert run(spark, rows, items) == {(2, 1): "copy"}
 
 
+SORT = "Sort these numbers in ascending order: {} and give the middle one"
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_changed_values_in_windows_of_slots_alone(spark, most):
+    few, many = "8 3 12 7 5 19 1", " ".join(str(k * k + 2) for k in range(10))
+    words = "x as y and z or p if q so r up s in"
+    items = [(1, SORT.format(few)), (2, words + " " + many), (3, "Compute 17 + 25 - 8 + 31 - 12"), (4, "and " + many)]
+    rows = [
+        (1, "Before it. " + SORT.format("40 22 31 65 90 14 77") + " after it."),
+        (2, SORT.format("40 22 40 22 40 22 40")),  # no consistent substitution
+        (3, words + " " + " ".join(str(k + 500) for k in range(10))),
+        (4, words + " 501 502 503 504 no other number stands here"),  # windows of words alone are not all of it
+        (5, "Add two and " + many + " to it"),
+        (6, "Compute 4 + 9 - 6 + 3 - 5"),  # more than half is slots: copies only
+        (7, "compute 17 + 25 - 8 + 31 - 12"),
+        (8, "then " + many),  # not the window with a word, but enough of all
+    ]
+    assert run(spark, rows, items, most=most) == {(1, 1): "reparameterised", (3, 2): "reparameterised", (5, 4): "copy", (7, 3): "copy", (8, 4): "copy"}
+
+
 def test_repeated_ids_are_one_row(spark):
     rows = [(1, QUESTION), (1, QUESTION), (1, "nothing"), (None, QUESTION)]
     assert run(spark, rows) == {(1, 1): "copy"}
