@@ -1,9 +1,10 @@
 """Quality classifier: similarity-weighted votes of labelled latent-semantic vectors.
 
 A text's terms are what quality shows in: pairs of neighbouring character classes
-(letters by case, digits, blanks, each kind of mark), counted over the whole text, and
-how much of it repeats: neighbouring equal words, word triples seen before, and words
-seen before. Square-rooted term shares, weighted by inverse document frequency and
+(letters by case, digits, blanks, each kind of mark), counted over the whole text; how
+much of it repeats: neighbouring equal words, word triples seen before, and words seen
+before; and its words (letters and digits, in lower case), hashed to ``WORDS`` terms. The
+order of words is no term. Square-rooted term shares, weighted by inverse document frequency and
 projected on the leading singular vectors of the labelled sample, are its latent vector.
 
 At most ``PER_CLASS`` labelled documents of each class teach (a documented bound); their
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import remainder, share_of_ones, training_sample
-from .textblocks import Block, blocks
+from .textblocks import LOWER, Block, U, blocks, flat, mix, powers, rolling
 
 PER_CLASS, RANK, SHARPNESS, THRESHOLD = 3000, 32, 40.0, 0.3
 _CLASSES = 19
@@ -38,8 +39,12 @@ _CLASS[[32, 9, 11, 12, 13]], _CLASS[10] = 4, 5
 for _k, _mark in enumerate(b".,!?|%&$*#-:"):
     _CLASS[_mark] = 6 + _k
 PAIRS = _CLASSES * _CLASSES
-TERMS = PAIRS + 3
-_REPEAT_WEIGHT = 0.7
+WORDS = 1024
+TERMS = PAIRS + 3 + WORDS
+_REPEAT_WEIGHT, _WORD_WEIGHT = 0.7, 0.3
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_VALUE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
 def terms(block: Block) -> np.ndarray:
@@ -61,10 +66,27 @@ def terms(block: Block) -> np.ndarray:
         words = block.word_hash[wa:wb]
         triples = words[:-2] * np.uint64(3) + words[1:-1] * np.uint64(5) + words[2:] * np.uint64(7)
         seen = [np.mean(words[1:] == words[:-1]), 1 - len(np.unique(triples)) / (n - 2), (1 - len(np.unique(words)) / n) ** 2]
-        out[r, PAIRS:] = _REPEAT_WEIGHT * np.sqrt(seen)
+        out[r, PAIRS : PAIRS + 3] = _REPEAT_WEIGHT * np.sqrt(seen)
+    row, slot = word_slots(block)
+    n = np.bincount(row, minlength=block.n)
+    at, counts = np.unique(row * WORDS + slot, return_counts=True)
+    row, slot = at // WORDS, at % WORDS
+    out[row, PAIRS + 3 + slot] = _WORD_WEIGHT * np.sqrt(counts / n[row])
     return out
 
 
+def word_slots(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hashed term of each word that has letters or digits."""
+    letter = _LETTER[block.buf]
+    place = np.r_[0, np.cumsum(letter)]
+    a, b = place[block.ws], place[block.we]
+    some = b > a
+    a, b = a[some], b[some]
+    sums = rolling(_VALUE[LOWER[block.buf[letter]]])
+    value = mix((sums[b] - sums[a]) * powers(len(sums) + 1)[1][a] + (b - a).astype(U))
+    return block.word_row()[some], (value % U(WORDS)).astype(np.int64)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch):
@@ -84,8 +106,10 @@ class Votes:
         self.weight = np.log1p(len(x) / (1 + seen)).astype(np.float32)
         weighted = x * self.weight
         self.mean = weighted.mean(axis=0)
-        _, _, right = np.linalg.svd(weighted - self.mean, full_matrices=False)
-        self.axes = right[:RANK].T.astype(np.float32)
+        weighted -= self.mean
+        _, axes = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))  # the right singular vectors, in little memory
+        self.axes = axes[:, ::-1][:, : min(RANK, len(x))].astype(np.float32)
+        del weighted
         vectors, some = self.latent(x)
         self.vectors, y = vectors[some], y[some]
         parts = np.array([1 - share, share])
@@ -114,7 +138,8 @@ class Votes:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Votes:
     allowed = remainder(5) != 0
     rows = training_sample(docs, labels, "quality", allowed, per_class).select("text", "y").mapInArrow(_features, "y int, terms binary").toArrow()
-    x = np.frombuffer(b"".join(rows.column("terms").to_pylist()), np.float32).reshape(-1, TERMS)
+    raw, off = flat(rows.column("terms"))
+    x = raw[off[0] : off[-1]].view(np.float32).reshape(-1, TERMS)
     return Votes(x, rows.column("y").to_numpy().astype(np.int64), share_of_ones(labels, "quality", allowed))
 
 

@@ -121,6 +121,30 @@ def test_marks_and_spelled_out_words():
     assert found == [coded("snivelet")]
 
 
+def test_words_tell_quality_where_marks_do_not(spark):
+    r = random.Random(5)
+    clean, spam = ([f"{''.join(r.choice('aeioulnrst') for _ in range(r.randrange(3, 9)))}" for _ in range(n)] for n in (400, 60))
+
+    def text(bad):
+        word = lambda: r.choice(spam if bad and r.random() < 0.5 else clean)
+        return " ".join(" ".join(word() for _ in range(r.randrange(6, 14))).capitalize() + "." for _ in range(r.randrange(3, 8)))
+
+    truth = {k: int(r.random() < 0.6) for k in range(500)}
+    docs = [(k, text(not good)) for k, good in truth.items()]
+    rows = quality_votes.quality(documents(spark, docs), label_table(spark, [(k, good, 0) for k, good in truth.items()])).collect()
+    own = [x for x in rows if x.held_out]
+    assert np.mean([x.predicted == truth[x.doc_id] for x in own]) >= 0.95
+
+
+def test_words_are_hashed_without_marks_and_case():
+    def row(text):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        return quality_votes.terms(Block(0, buf, np.array([0, len(buf)])))[0, -quality_votes.WORDS :]
+
+    assert np.array_equal(row("Some words, some %%% here"), row("here SOME so-me words."))
+    assert not row("%%% | !!!").any()
+
+
 def test_votes_are_exact_cosines():
     r = np.random.default_rng(1)
     x, y = np.abs(r.standard_normal((60, quality_votes.TERMS))).astype(np.float32), r.integers(0, 2, 60)
