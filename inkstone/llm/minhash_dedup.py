@@ -207,10 +207,11 @@ def _exact(percent: int, matches: int):
 
 
 def _links(hubs: DataFrame, members: DataFrame, percent: int, matches: int) -> DataFrame:
-    """Verified (a, b): each unit's hubs against every part of it."""
-    dealt = members.select("unit", "rep", "members", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
-    spread = hubs.select(F.col("unit").alias("hub_unit"), F.col("rep").alias("hub"), F.col("members").alias("hub_members"), F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("hub_part"))
-    pair = spread.groupBy("hub_unit", "hub_part").cogroup(dealt.groupBy("unit", "part"))
+    """Verified (a, b): each block of a unit's hubs against every part of it."""
+    last = (F.col("blocks") - 1).cast("int")
+    dealt = members.select("unit", "rep", "members", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), last)).alias("block"))
+    spread = hubs.select(F.col("unit").alias("hub_unit"), F.col("rep").alias("hub"), F.col("members").alias("hub_members"), F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("hub_block"), F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("hub_part"))
+    pair = spread.groupBy("hub_unit", "hub_block", "hub_part").cogroup(dealt.groupBy("unit", "block", "part"))
     return pair.applyInArrow(_exact(percent, matches), "a bigint, b bigint")
 
 
@@ -235,13 +236,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     large = members.where("parts > 1")
     few = large.groupBy("unit", (F.pmod(F.xxhash64(F.col("rep"), F.lit(1)), F.lit(HUBS))).alias("slot")).agg(F.min_by("rep", F.xxhash64("rep")).alias("rep")).select("rep")
     hubs = members.where("parts = 1").unionByName(large.join(few, "rep", "left_semi"))
-    links = cut(_links(hubs, members, percent, matches))
+    one = F.lit(1).cast("bigint")
+    links = cut(_links(hubs.withColumn("blocks", one), members.withColumn("blocks", one), percent, matches))
     found = components(links)
     if not large.isEmpty():  # what no hub has reached is compared with all of its unit
         reached = large.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("unit", "rep", "members", "parts", F.coalesce("component", "rep").alias("component"))
-        main = reached.groupBy("unit", "component").count().groupBy("unit").agg(F.max_by("component", "count").alias("main"))
-        apart = reached.join(main, "unit").where("component <> main").select("unit", "rep", "members", "parts")
-        found = components(links.unionByName(_links(apart, large, percent, matches)))
+        main = reached.groupBy("unit", "component").count().groupBy("unit").agg(F.max_by("component", "count").alias("main"), F.ceil((F.sum("count") - F.max("count")) / PART).alias("blocks"))
+        compared = reached.join(main, "unit").where("blocks > 0")
+        found = components(links.unionByName(_links(compared.where("component <> main"), compared, percent, matches)))
 
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("shingles", F.coalesce("component", "rep").alias("component"))
     of = sketches.select("doc_id", "n_shingles", "shingles").join(named, "shingles", "left")

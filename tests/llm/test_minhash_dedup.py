@@ -65,6 +65,28 @@ def test_a_large_unit_is_cut_into_parts(spark, monkeypatch):
     assert run(documents(spark, rows)) == brute(rows)
 
 
+def test_what_no_hub_reached_is_compared_in_blocks(spark, monkeypatch):
+    part, exact = 8, m._exact
+
+    def guarded(percent, matches):
+        real = exact(percent, matches)
+
+        def run(key, hubs, members):
+            if max(hubs.num_rows, members.num_rows) > 4 * part:
+                raise MemoryError(f"{hubs.num_rows} hubs and {members.num_rows} members in one group")
+            return real(key, hubs, members)
+
+        return run
+
+    monkeypatch.setattr(m, "PART", part)
+    monkeypatch.setattr(m, "_exact", guarded)
+    base = prose(23, 300)
+    rows = [(k, edited(base, 12, k)) for k in range(120)]
+    rows += [(200 + k, edited(rows[5 * k][1], 1, 900 + k)) for k in range(20)]
+    assert sum(c != d for d, (_, c, _) in brute(rows).items()) == 20
+    assert run(documents(spark, rows)) == brute(rows)
+
+
 def test_matches_needed_bounds_the_miss():
     assert m.matches_needed(1.0) == m.COORDINATES
     assert 10 <= m.matches_needed(0.85) <= 20
