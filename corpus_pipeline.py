@@ -6,13 +6,15 @@ documents.
 
 1. quality classifier: documents whose score is below the threshold go.
 2. MinHash near-dedup: of each group of near duplicates the smallest doc_id stays.
-   Documents without words are in no group and stay.
+   Documents without words are in no group and stay. Of rows that repeat a doc_id the
+   one that was judged stands.
 3. benchmark decontamination: documents that hold a benchmark item go.
 4. secret scans: documents stay; every span found is replaced by ``[kind]`` in the text,
    and n_chars follows it.
 5. mixing: what is left is drawn to the target mixture; a row for each use of a document.
 
-Rows without a doc_id can be neither grouped nor checked and leave at stage 2.
+Rows without a doc_id are in no group and stay at stage 2; stage 3 knows them by their
+text. They leave at stage 5, whose rows name documents.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.minhash_dedup import near_duplicates
+from inkstone.llm.minhash_dedup import judged, near_duplicates
 from inkstone.llm.mixing import mixture
 from inkstone.llm.quality_votes import THRESHOLD, fit, scored
 from inkstone.llm.secret_linking import masked
@@ -37,12 +39,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    named = judged(docs).join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return named.unionByName(docs.where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return docs.join(contamination(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    out = docs.join(contamination(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    unnamed = docs.where("doc_id is null")
+    if unnamed.isEmpty():
+        return out
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    held = contamination(unnamed.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("held")).distinct()
+    return out.where("doc_id is not null").unionByName(unnamed.join(held, key == F.col("held"), "left_anti"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

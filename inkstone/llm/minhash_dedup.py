@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import components, cut
 from .textblocks import Block, blocks, longs, mix
@@ -215,6 +216,24 @@ def _links(hubs: DataFrame, members: DataFrame, percent: int, matches: int) -> D
     return pair.applyInArrow(_exact(percent, matches), "a bigint, b bigint")
 
 
+def judged(docs: DataFrame) -> DataFrame:
+    """The rows with a doc_id; of rows that repeat one, that whose set near_duplicates compares (of equal sets the smallest text)."""
+    own = docs.where("doc_id is not null")
+    repeated = own.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    several = own.join(repeated, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch, lower=True):
+                prints = [fingerprint(s) for s in shingle_sets(block)]
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(block.first_row, block.n), pa.array(prints, pa.binary())], ["row", "shingles"])
+
+    drawn = several.mapInArrow(run, T.StructType([several.schema["row"], T.StructField("shingles", T.BinaryType())]))
+    first = F.min_by("row", F.struct("shingles", "row.text", F.to_json("row")))
+    chosen = drawn.groupBy(F.col("row.doc_id").alias("of")).agg(first.alias("row")).select("row.*")
+    return own.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(chosen)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept of each document."""
     spark = docs.sparkSession

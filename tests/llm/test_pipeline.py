@@ -1,7 +1,10 @@
 import inspect
 
+import numpy as np
+
 import corpus_pipeline as p
 from inkstone.llm import minhash_dedup, mixing, quality_votes, secret_linking, template_decontamination
+from inkstone.llm.textblocks import Block
 
 from .helpers import awkward, prose, table
 
@@ -70,6 +73,28 @@ def test_awkward_documents_pass_every_stage(spark, tmp_path):
     assert {r.doc_id for r in out} <= {d for d, _ in awkward()}
 
 
+def test_repeated_and_missing_ids_at_near_dedup_and_decontamination(spark, tmp_path):
+    texts = [prose(7000 + k, 40, 5000) for k in range(12)]
+    judged = min(texts[:6], key=lambda t: minhash_dedup.fingerprint(minhash_dedup.shingle_sets(block(t))[0]))
+    rows = [(1, t, "en", "s", k) for k, t in enumerate(texts[:6])]
+    rows += [(2, texts[6], "en", "s", 0), (3, texts[6], "en", "s", 0), (4, None, "en", "s", 0), (4, texts[7], "en", "s", 1)]
+    rows += [(None, texts[8], "en", "s", 0), (None, texts[8], "en", "s", 0), (None, texts[9], "en", "s", 0), (None, None, "en", "s", 0)]
+    want = {(1, judged), (2, texts[6]), (4, None), (None, texts[8]), (None, texts[9]), (None, None)}
+    for order in (rows, rows[::-1]):
+        out = p.near_dedup_stage(spark, spark.createDataFrame(order, DOCS).repartition(3), str(tmp_path))
+        found = [(r.doc_id, r.text) for r in out.collect()]
+        assert out.columns == [x.split()[0] for x in DOCS.split(", ")]
+        assert set(found) == want and len(found) == len(want) + 1
+    write(spark, str(tmp_path), rows, [], [(1, texts[9]), (2, judged)])
+    left = p.decontamination_stage(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()
+    assert {r.text for r in left if r.doc_id is None} == {texts[8], None} and len(left) == 14 - 6 - 1
+
+
+def block(text):
+    buf = np.frombuffer(text.encode(), np.uint8)
+    return Block(0, buf, np.array([0, len(buf)]), lower=True)
+
+
 def test_empty_tables(spark, tmp_path):
     write(spark, str(tmp_path), [], [], [])
     assert p.run(spark, str(tmp_path)).collect() == []
