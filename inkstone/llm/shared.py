@@ -1,18 +1,26 @@
-"""Session helpers: the checkpoint folder all executors share, and connected components."""
+"""Session helpers: the folder all executors share, tables written there, and connected components."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder stands in for it in a local session only; on a
+    cluster a folder of the driver's would not be the executors', so that is an error.
+    """
     context = spark.sparkContext
     if (own := context._jsc.sc().getCheckpointDir()).isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
         own = context._jsc.sc().getCheckpointDir()
     return own.get()
 
@@ -23,20 +31,65 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def folder(spark: SparkSession, kind: str) -> str:
+    """A new folder's name under the shared one; what is written there goes when the driver ends, if not before."""
+    path = f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows as a table of the shared folder: lineage and size estimates begin anew, as checkpoints' estimates don't."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _star(edges: DataFrame) -> DataFrame:
+    """One round over edges (hi, lo), hi > lo: the large star, then the small star.
+
+    The large star hands each edge's upper end to the least node below its lower end; the
+    small star ties all that lie below a node to the least of them. Both keep what is
+    connected connected. A node with very many edges is the lower end of them, where its
+    rows wait for one number: AQE may split them, and no task gathers them.
+    """
+    least = edges.groupBy("hi").agg(F.min("lo").alias("low")).withColumnRenamed("hi", "node")
+    large = edges.join(least, F.col("lo") == F.col("node"), "left").select("hi", F.coalesce("low", "lo").alias("lo")).distinct()
+    below = large.groupBy("hi").agg(F.min("lo").alias("low"))
+    tied = large.join(below.withColumnRenamed("hi", "node"), F.col("hi") == F.col("node")).where("lo > low").select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
+    return below.select("hi", F.col("low").alias("lo")).unionByName(tied).distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether each upper end has one edge and is no lower end: the components are stars around their least nodes."""
+    ends = edges.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("lo").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1").isEmpty()
+
+
+def components(edges: DataFrame, rounds: list | None = None) -> DataFrame:
     """(node, component): the smallest node that each node of the edges (a, b) can reach.
 
-    Smallest-label propagation with pointer jumping; a round is a map-side combined
-    minimum, so a node with very many edges is no hot group, and is checkpointed.
+    Alternating large and small stars rewrite the edges until they are stars, which takes
+    about log(nodes) rounds whatever the order of the ids along a path; there is no limit to
+    the rounds. A round's edges are a table of the shared folder, and the round before goes
+    once it is written. Nodes whose only edges are loops are not listed. ``rounds`` collects
+    the numbers of edges.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
-    for _ in range(most_rounds):
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        jump = label.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        step = label.join(near, "node", "left").join(jump, "component", "left")
-        after = cut(step.select("node", F.least("component", "near", "far").alias("component"), F.col("component").alias("before")))
-        label = after.select("node", "component")
-        if after.where("component <> before").isEmpty():
-            return label
-    raise RuntimeError(f"no fixed point within {most_rounds} rounds")
+    spark = edges.sparkSession
+    a, b = F.col("a").cast("bigint"), F.col("b").cast("bigint")
+    base = folder(spark, "components")
+    now = written(edges.where("a <> b").select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), f"{base}/0")
+    turn = 0
+    while not _settled(now):
+        turn += 1
+        now = written(_star(now), f"{base}/{turn}")
+        remove(spark, f"{base}/{turn - 1}")
+        if rounds is not None:
+            rounds.append(now.count())
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())

@@ -1,7 +1,8 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from inkstone.llm import minhash_dedup as m
 from inkstone.llm.shared import components
@@ -32,6 +33,27 @@ def brute(rows):
     return {d: (len(s), top(d), top(d) == d) for d, s in sets.items()}
 
 
+def brute_by_shingles(rows):
+    """As brute(), with only the pairs that share a shingle."""
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in rows}
+    held, shared, up = defaultdict(list), Counter(), {d: d for d in sets}
+    for d, own in sorted(sets.items()):
+        for s in own:
+            shared.update((e, d) for e in held[s])
+            held[s].append(d)
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for (a, b), n in shared.items():
+        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+    return {d: (len(s), top(d), top(d) == d) for d, s in sets.items()}
+
+
 def run(df):
     return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in m.near_duplicates(df).collect()}
 
@@ -105,5 +127,43 @@ def test_components(spark):
     assert dict(found) == {0: {*range(15), 50}, 15: set(range(15, 31))}
 
 
+@pytest.mark.parametrize("ids", ["descending", "random"])
+def test_components_of_a_long_path_take_few_rounds(spark, ids):
+    nodes = [0, *range(500, 0, -1)] if ids == "descending" else random.Random(3).sample(range(10**6), 501)
+    rounds = []
+    found = components(spark.createDataFrame(list(zip(nodes, nodes[1:])), "a bigint, b bigint"), rounds).collect()
+    assert {r.node: r.component for r in found} == dict.fromkeys(nodes, min(nodes)) and len(found) == len(nodes)
+    assert len(rounds) <= 20
+
+
+def test_components_match_brute_force_on_random_graphs(spark):
+    r = random.Random(8)
+    pairs = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(7, 400 + k) for k in range(100)]
+    up = {n: n for p in pairs for n in p}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)))
+        up[y] = x
+    some = {n for a, b in pairs if a != b for n in (a, b)}
+    found = {x.node: x.component for x in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert found == {n: top(n) for n in some}
+
+
+def test_a_drifting_chain_with_adverse_ids(spark):
+    text, rows = prose(31, 150, 5000), []
+    r = random.Random(5)
+    for k, doc_id in enumerate([0, *range(1000, 1, -1)]):
+        words = text.split()
+        words[(k * 7) % 150] = f"drift{r.randrange(10**9)}"
+        text = " ".join(words)
+        rows.append((doc_id, text))
+    assert run(documents(spark, rows)) == brute_by_shingles(rows)
+
+
 def test_empty_table(spark):
     assert run(documents(spark, [])) == {}
