@@ -15,14 +15,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     """(text, y): at most ``per_class`` documents of each label, chosen by a hash of their id.
 
     ``allowed`` says which doc_ids may teach; labels other than 0 and 1 teach nothing. A
-    doc_id with several labels counts with the largest. The chosen ids, two classes of
+    doc_id with several labels counts with the largest. With ``max_bytes`` the documents are
+    drawn among those with a text of so many bytes at most. The chosen ids, two classes of
     ``per_class`` at most, are what is broadcast.
     """
-    known = labels.where(allowed & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
-    chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    known = labels.where(allowed & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     if max_bytes is not None:
         texts = texts.where(F.octet_length("text") <= max_bytes)
+        known = known.join(texts.select("doc_id"), "doc_id", "left_semi")
+    chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     return texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("doc_id", "text", "y")
 
 

@@ -143,19 +143,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Votes
     return Votes(x, rows.column("y").to_numpy().astype(np.int64), share_of_ones(labels, "quality", allowed))
 
 
-def scored(docs: DataFrame, model: Votes) -> DataFrame:
-    """All columns of docs and ``score``."""
+def scored(docs: DataFrame, model: Votes, name: str = "score") -> DataFrame:
+    """All columns of docs and the score under ``name``, which no column of docs may have."""
+    if name.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"docs has a column {name}: give the score another name")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if c != "score"]
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch):
                 rows = batch.slice(block.first_row, block.n)
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array(shared.value.score(terms(block)))], [*columns, "score"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array(shared.value.score(terms(block)))], [*columns, name])
 
-    own = docs.select(*columns)
-    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,8 +7,10 @@ stands, so the slot does not depend on the text around a passage). A second form
 names as words, for copies whose case was changed.
 
 *Template windows* of five words are hashed and joined: a benchmark of at most
-``BROADCAST_WINDOWS`` windows is sent to all tasks as one sorted array; a larger one goes
-through a shuffled hash join of windows. A document holds an item if it has at least 80 %
+``BROADCAST_WINDOWS`` windows is sent to all tasks as one sorted array; for a larger one,
+only the rarest windows of each item, so many that a document which holds the item shares
+one, are joined with the documents' windows, and the pairs that meet are matched like the
+others. A bit array of fixed size keeps all other windows out of that join. A document holds an item if it has at least 80 %
 of the item's distinct windows in either form; items of fewer words than a window are one
 window of their own length.
 
@@ -39,10 +41,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .shared import cut
 from .textblocks import LOWER, Block, blocks, flat, kgrams, longs, mix, powers, rolling
 
 WINDOW, SHARE, SAME, BROADCAST_WINDOWS = 5, 0.8, 0.5, 4_000_000
+SIEVE_BITS = 1 << 27
 UNITS = "mm cm m km mi ft in g kg mg lb oz l ml s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent dollar dollars euro euros usd eur cent cents mph kmh mile miles meter meters metre metres foot feet inch inches pound pounds gram grams litre litres liter liters".split()
 U = np.uint64
 _NUMBER, _UNIT, _NAME = U(0xA5A5A5A5A5A5A501), U(0xA5A5A5A5A5A5A502), U(0xA5A5A5A5A5A5A503)
@@ -273,55 +278,104 @@ def _looked_up(shared):
     return run
 
 
-def _windows(key: str):
-    """Distinct (key, window hash, whether slots alone) of each form; short items give one window of their length."""
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each item row's distinct windows: item_id, row, form, words, window, and whether it is slots alone."""
+    for batch in batches:
+        for block in blocks(batch):
+            tokens = Tokens(block)
+            size = np.diff(tokens.wo)
+            for form in (0, 1):
+                for k in range(1, WINDOW + 1):
+                    grams, whole, bare = tokens.windows(form, k)
+                    at = np.flatnonzero(whole)
+                    at = at[size[tokens.row[at]] == k if k < WINDOW else size[tokens.row[at]] >= k]
+                    rows = np.unique(np.stack([tokens.row[at].astype(U), _keyed(grams[at], form, k), bare[at].astype(U)], axis=1), axis=0)
+                    of = pa.array(block.first_row + rows[:, 0].astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([batch.column("item_id").take(of), batch.column("row").take(of), pa.array(np.full(len(rows), form), pa.int32()), pa.array(np.full(len(rows), k), pa.int32()), pa.array(rows[:, 1].view(np.int64)), pa.array(rows[:, 2] == 1)], ["item_id", "row", "form", "words", "window", "bare"])
+
+
+def _keyed(grams: np.ndarray, form: int, k: int) -> np.ndarray:
+    """Window hashes that only windows of the same form and length share."""
+    return mix(grams + U(8 * form + k))
+
+
+def _document_windows(lengths: list[int], sieve):
+    """Distinct (doc_id, window) in both forms, of the lengths that the benchmark has and let through by the sieve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sieve.value
         for batch in batches:
-            ids = longs(batch, key)
+            ids = longs(batch, "doc_id")
             for block in blocks(batch):
                 tokens = Tokens(block)
                 for form in (0, 1):
-                    for k in range(1, WINDOW + 1):
-                        grams, whole, bare = tokens.windows(form, k)
+                    for k in lengths:
+                        grams, whole, _ = tokens.windows(form, k)
                         at = np.flatnonzero(whole)
-                        if key == "item_id" and k < WINDOW:
-                            at = at[np.diff(tokens.wo)[tokens.row[at]] == k]
-                        rows = np.unique(np.stack([ids[block.first_row + tokens.row[at]].astype(U), grams[at], bare[at].astype(U)], axis=1), axis=0)
-                        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0].astype(np.int64)), pa.array(rows[:, 1].astype(np.int64)), pa.array(rows[:, 2] == 1)], [key, "window", "bare"])
+                        key = _keyed(grams[at], form, k)
+                        place = key & U(SIEVE_BITS - 1)
+                        some = held[(place >> U(3)).astype(np.int64)] >> (place & U(7)).astype(np.uint8) & 1 > 0
+                        rows = np.unique(np.stack([ids[block.first_row + tokens.row[at[some]]].view(U), key[some]], axis=1), axis=0).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["doc_id", "window"])
 
     return run
 
 
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of an item's row in one form: all, and those with words if there are any."""
-    for batch in batches:
-        ids = longs(batch, "item_id")
-        templates = Templates(ids, batch.column("text").to_pylist())
-        found = list(templates.total)
-        columns = [pa.array([int(ids[i]) for _, i in found], pa.int64()), pa.array([templates.total[x] for x in found], pa.int64()), pa.array([templates.worded.get(x) for x in found], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["item_id", "windows", "worded"])
+def _sieve(windows: DataFrame) -> np.ndarray:
+    """A bit for each of ``SIEVE_BITS`` hash values that some window has: a fixed size, whatever the benchmark's."""
+    place = F.col("window").bitwiseAND(F.lit(SIEVE_BITS - 1))
+    piece = SIEVE_BITS // 128
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        bits = np.zeros(piece, bool)
+        bits[rows.column("place").to_numpy() % piece] = True
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    found = windows.select(place.alias("place")).distinct().withColumn("piece", F.floor(F.col("place") / piece).cast("int")).groupBy("piece").applyInArrow(run, "piece int, bits binary")
+    out = np.zeros(SIEVE_BITS // 8, np.uint8)
+    for at, bits in found.collect():  # 128 rows at most
+        out[at * piece // 8 : (at + 1) * piece // 8] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _prefixes(items: DataFrame) -> DataFrame:
+    """(item_id, words, window): so many of each item's rarest windows that whatever holds the item shares one.
+
+    For each row and form: holding SHARE of n windows leaves out n - ceil(SHARE * n) at
+    most, so one more than that are enough; likewise among the windows with words, by
+    which an item may be held as well.
+    """
+    own = cut(items.withColumn("row", F.md5("text")).mapInArrow(_item_windows, "item_id bigint, row string, form int, words int, window bigint, bare boolean"))
+    often = own.groupBy("window").agg(F.count("*").alias("often"))
+    every, alike = Window.partitionBy("item_id", "row", "form"), Window.partitionBy("item_id", "row", "form", "bare")
+    placed = own.join(often, "window").select(
+        "item_id", "words", "window", "bare",
+        F.row_number().over(every.orderBy("often", "window")).alias("at"), F.count("*").over(every).alias("n"),
+        F.row_number().over(alike.orderBy("often", "window")).alias("at_alike"), F.count("*").over(alike).alias("n_alike"),
+    )
+    spare = lambda n: n - F.ceil(F.lit(SHARE) * n) + 1
+    return placed.where((F.col("at") <= spare(F.col("n"))) | ~F.col("bare") & (F.col("at_alike") <= spare(F.col("n_alike")))).select("item_id", "words", "window").distinct()
 
 
 def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """For benchmarks of any size: documents and items that share a window meet, then match as above."""
-    left = docs.mapInArrow(_windows("doc_id"), "doc_id bigint, window bigint, bare boolean").select("doc_id", "window")
-    right = items.mapInArrow(_windows("item_id"), "item_id bigint, window bigint, bare boolean").groupBy("item_id", "window").agg(F.min("bare").alias("bare"))
-    worded = F.count_distinct(F.when(~F.col("bare"), F.col("window")))
-    # enough windows of one row and form of the item, be it all of them or those with words
-    total = items.mapInArrow(_totals, "item_id bigint, windows bigint, worded bigint").groupBy("item_id").agg(F.min("windows").alias("windows"), F.min("worded").alias("worded"))
-    near = left.join(right, "window").groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("shared"), worded.alias("shared_worded"))
-    enough = (F.col("shared") >= F.lit(SHARE) * F.col("windows")) | F.coalesce(F.col("shared_worded") >= F.lit(SHARE) * F.col("worded"), F.lit(False))
-    near = near.join(total, "item_id").where(enough).select("doc_id", "item_id")
-    pairs = near.join(docs, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id")
+    """For benchmarks of any size: documents and items that share a window of an item's prefix meet, then match as above."""
+    prefixes = cut(_prefixes(items))
+    lengths = sorted(r[0] for r in prefixes.select("words").distinct().collect())  # WINDOW numbers at most
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(prefixes))
+    met = docs.mapInArrow(_document_windows(lengths, sieve), "doc_id bigint, window bigint").join(prefixes.select("item_id", "window"), "window").select("doc_id", "item_id").distinct()
+    pairs = met.join(docs, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one in range(batch.num_rows):
-                row = batch.slice(one, 1)
-                templates = Templates(longs(row, "item_id"), row.column("item").to_pylist())
-                for block in blocks(row):
+        for batch in batches:  # one set of templates a batch, of its distinct items, for its distinct documents
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            some, own = (table.select(names).group_by(names).aggregate([]) for names in (["item_id", "item"], ["doc_id", "text"]))
+            templates = Templates(some.column("item_id").to_numpy(), some.column("item").to_pylist())
+            for part in own.combine_chunks().to_batches():
+                ids = longs(part, "doc_id")
+                for block in blocks(part):
                     if found := templates.matches(Tokens(block)):
-                        yield _found(longs(row, "doc_id"), templates.ids, found)
+                        yield _found(ids[block.first_row :], templates.ids, found)
 
     return pairs.mapInArrow(run, _RESULT_DDL)

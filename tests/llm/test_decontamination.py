@@ -93,3 +93,25 @@ def test_changed_values_in_windows_of_slots_alone(spark, most):
 def test_repeated_ids_are_one_row(spark):
     rows = [(1, QUESTION), (1, QUESTION), (1, "nothing"), (None, QUESTION)]
     assert run(spark, rows) == {(1, 1): "copy"}
+
+
+def test_both_paths_report_the_same_rows(spark):
+    """Repeated clauses with all names changed, short items, repeated ids, shared windows, copies with changed case."""
+    clause = "{} has met {} in {} today "
+    names = ["Alice", "Bob", "Carol", "Dan", "Erin", "Fay", "Gus", "Hal", "Ida", "Jon", "Kim", "Lea"]
+    others = [x[::-1].capitalize() for x in names]
+    repeated = "".join(clause.format(*names[3 * k : 3 * k + 3]) for k in range(4))
+    items = [(1, repeated), (2, QUESTION), (3, "Two words"), (3, "one"), (4, prose(61, 30, 40)), (5, prose(62, 30, 40)), (6, ""), (7, None), (8, "Who is 7 m tall")]
+    rows = [(1, "x " + "".join(clause.format(*others[3 * k : 3 * k + 3]) for k in range(4)) + "y"), (2, repeated.lower()), (3, QUESTION.upper()), (4, "two Words"), (4, "and one more"), (5, prose(61, 30, 40)), (6, " ".join(prose(62, 30, 40).split()[:26])), (7, None), (8, ""), (9, "Who is 9 m tall"), (10, "here " * 3000 + repeated)]
+    both = []
+    for most in (10**6, 0):
+        out = t.contamination(table(spark, rows), table(spark, items, schema="item_id bigint, text string"), most=most).collect()
+        both.append(sorted(tuple(r) for r in out))
+    assert both[0] == both[1]
+    assert {(r[0], r[1]) for r in both[0]} >= {(1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (6, 5), (10, 1)}
+
+
+def test_a_join_takes_only_lengths_the_benchmark_has(spark):
+    prefixes = t._prefixes(spark.createDataFrame([(1, prose(71, 40)), (2, "a b")], "item_id bigint, text string"))
+    assert {r.words for r in prefixes.collect()} == {2, t.WINDOW}
+    assert t._sieve(prefixes).sum() > 0

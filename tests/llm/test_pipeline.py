@@ -1,4 +1,5 @@
 import inspect
+import os
 
 import numpy as np
 
@@ -6,7 +7,7 @@ import corpus_pipeline as p
 from inkstone.llm import minhash_dedup, mixing, quality_votes, secret_linking, template_decontamination
 from inkstone.llm.textblocks import Block
 
-from .helpers import awkward, prose, table
+from .helpers import CLASHING, awkward, prose, table
 
 LABELS = "doc_id bigint, quality int, toxic int"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -95,6 +96,31 @@ def block(text):
     return Block(0, buf, np.array([0, len(buf)]), lower=True)
 
 
+def test_clashing_columns_and_repeated_ids_survive_every_stage(spark, tmp_path):
+    folder = str(tmp_path)
+    docs, labels, items = corpus()
+    docs += [(5, prose(31, 60, 5000).capitalize() + ".", "en", "s", k) for k in range(2)]  # repeats doc_id 5 with another text
+    write(spark, folder, [], labels, items)
+    table(spark, docs, schema=DOCS).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    kept = spark.read.parquet(f"{folder}/documents.parquet")
+    names = [x for x in CLASHING if x in kept.columns]
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, kept, folder)
+        assert out.schema == kept.schema
+        out.write.parquet(f"{folder}/{name}")
+        kept = spark.read.parquet(f"{folder}/{name}")
+        assert {tuple(r[n] for n in names) for r in kept.collect()} == {("clash",) * len(names)}
+    assert kept.where("doc_id = 5").count() == 1
+    assert p.run(spark, folder).count() > 100
+
+
+def test_earlier_stages_are_removed(spark, tmp_path):
+    write(spark, str(tmp_path), *corpus())
+    out = p.run(spark, str(tmp_path))
+    last = os.path.dirname(next(iter(out.inputFiles())).removeprefix("file:"))
+    assert os.listdir(os.path.dirname(last)) == [p.STAGES[-1][0]]
+
+
 def test_empty_tables(spark, tmp_path):
     write(spark, str(tmp_path), [], [], [])
     assert p.run(spark, str(tmp_path)).collect() == []
