@@ -19,8 +19,6 @@ text. They leave at stage 5, whose rows name documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,13 +26,16 @@ from inkstone.llm.minhash_dedup import judged, near_duplicates
 from inkstone.llm.mixing import mixture
 from inkstone.llm.quality_votes import THRESHOLD, fit, scored
 from inkstone.llm.secret_linking import masked
-from inkstone.llm.shared import checkpoint_dir
+from inkstone.llm.shared import folder, remove
 from inkstone.llm.template_decontamination import contamination
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return scored(docs, fit(docs, labels)).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    name = "score"
+    while name in map(str.lower, docs.columns):  # a column of the documents' own stays as it is
+        name += "_"
+    return scored(docs, fit(docs, labels), name).where(F.col(name) >= THRESHOLD).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,10 +76,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written to the shared checkpoint folder and reread."""
+    """All stages over the documents of sf_dir, each written to the shared checkpoint folder and reread; a stage's table goes once the next is written, the last when the driver ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base, before = folder(spark, "pipeline"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        docs = spark.read.parquet(f"{base}/{name}")
+        if before is not None:  # its successor is written, so nothing reads it any more
+            remove(spark, before)
+        before = f"{base}/{name}"
     return docs
