@@ -28,7 +28,7 @@ def exact_exponent(shares, target, most):
         entropy = math.log(z) - t * sum(p**t * math.log(p) for p in shares) / z
         return entropy <= target * math.log(len(shares)) + 1e-12 and max(p ** (t - 1) / z for p in shares) <= most + 1e-12
 
-    return next(k / 10**5 for k in range(10**5 + 1) if fits(k / 10**5))
+    return next(k / 10**5 for k in range(16 * 10**5 + 1) if fits(k / 10**5))
 
 
 def test_weights_meet_the_target(spark):
@@ -46,7 +46,50 @@ def test_weights_meet_the_target(spark):
 def test_repetition_limit(spark):
     rows = corpus()
     used = Counter(r.doc_id for r in m.mixture(docs(spark, rows), target=1.0, max_passes=2.0).collect())
-    assert max(used.values()) <= 3
+    assert max(used.values()) <= 2
+
+
+def test_a_budget_beyond_the_limit_caps_every_quota(spark):
+    rows = corpus()
+    total = sum(len(t.split()) for _, t, _ in rows)
+    out = m.report(docs(spark, rows), budget=10 * total, max_passes=2.0).collect()
+    assert all(r.mixed_tokens == r.quota == 2 * r.source_tokens for r in out)
+    half = m.report(docs(spark, rows), budget=10 * total, max_passes=1.5).collect()
+    assert all(r.quota == math.floor(1.5 * r.source_tokens) and r.source_tokens < r.mixed_tokens <= r.quota for r in half)
+
+
+def test_a_mix_of_more_entropy_than_the_target_gets_an_exponent_above_one(spark):
+    rows = [(k, "w " * (10 + k % 3), f"s{k % 3}") for k in range(300)]
+    own = Counter()
+    for _, text, source in rows:
+        own[source] += len(text.split())
+    total = sum(own.values())
+    t = exact_exponent([n / total for n in own.values()], 0.9, 4.0)
+    assert t > 1
+    z = sum((n / total) ** t for n in own.values())
+    found = {r.source: r.weight for r in m.report(docs(spark, rows), target=0.9).collect()}
+    assert found == {s: pytest.approx((n / total) ** t / z, abs=1e-4) for s, n in own.items()}
+
+
+def test_equal_sources_keep_their_shares_whatever_the_target(spark):
+    rows = [(k, "w w w", f"s{k % 4}") for k in range(80)]
+    assert {r.weight for r in m.report(docs(spark, rows), target=0.5).collect()} == {0.25}
+
+
+def test_sources_with_long_documents_are_filled_or_listed(spark):
+    rows = [(0, "w " * 5000, "a"), *((k, "w " * 10, "a") for k in range(1, 60)), *((k, "w " * 40, "b") for k in range(60, 200)), (900, "w " * 3000, "only")]
+    out = {r.source: r for r in m.report(docs(spark, rows), budget=1500, target=0.99).collect()}
+    assert set(out) == {"a", "b", "only"}
+    assert out["only"].quota > 0 and out["only"].mixed_tokens == 0  # its one document is longer than its quota
+    for s, size in (("a", 10), ("b", 40)):
+        assert 0 <= out[s].quota - out[s].mixed_tokens < size
+
+
+@pytest.mark.parametrize("most", [0, 2])
+def test_many_sources_give_the_same_mix(spark, monkeypatch, most):
+    want = sorted(map(tuple, m.mixture(docs(spark, corpus())).collect()))
+    monkeypatch.setattr(m, "BROADCAST_SOURCES", most)
+    assert sorted(map(tuple, m.mixture(docs(spark, corpus())).collect())) == want
 
 
 def test_blocks_are_budgeted_permutations(spark):
