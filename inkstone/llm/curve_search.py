@@ -1,33 +1,44 @@
 """Approximate nearest neighbours by cosine along shifted space-filling curves.
 
 *Index.* Each of ``CURVES`` curves has its own orthonormal projection of the unit vectors
-to ``DIMENSIONS`` coordinates, mapped to [0, 1) by the normal distribution that random
-directions have, shifted by a random offset (cyclically) and cut to ``BITS`` bits; the
-cell's place on the Hilbert curve is the key. All rows are range-partitioned by
-(curve, key, vec_id), so a hot key is cut like any other, and the partition is a row's place
-in the order. Nothing is fitted to the data.
-
-*Search.* A query looks at the partitions within ``SHARE`` of all partitions to either
-side of its own, on every curve. Query blocks and partitions, both of bounded size, meet in
-a grouped join, where cosines are computed in blocks and each group keeps its best ``k``;
-the groups' lists merge by query, without repeats, and the best k remain. Scores are
-cosines of the original vectors in double precision, ties go to the smaller vec_id.
+to ``DIMENSIONS`` coordinates, mapped to [0, 1/2) by the normal distribution that random
+directions have, shifted by a random offset below 1/2 and cut to ``BITS`` bits; the cell's
+place on the Hilbert curve is the key. Every row is indexed on every curve. Each curve is
+cut into key ranges of equal numbers of rows, ``BLOCKS`` of them or as many as leave
+``BLOCK_ROWS`` rows each. What is fitted is only where the cuts lie: at the quantiles of the
+keys of about ``SAMPLE`` rows, chosen by a hash of their ids.
 
-Of equal vectors only the k + 1 smallest vec_ids are candidates: any other loses every tie
-against k of them, so this drops no result and keeps a hot vector from filling windows.
+*Search.* A query looks at its own range and its two neighbours on every curve. Rows travel
+along the curves as 8-bit codes and keys, packed by task, not as vectors; a range that holds
+more than ``CELL_ROWS`` rows by the sample (one key may hold a third of all) is dealt into
+cells of that size, and its queries into cells of ``CELL_QUERIES``, so what meets in a group
+is bounded. Each cell keeps a query's ``kept`` best by code, and of all cells the ``FINAL``
+best are reranked by the cosine of the original vectors in double precision; ties go to the
+smaller vec_id. Tables of at most ``2 * BLOCK_ROWS`` rows are one range, and so are searched
+whole.
+
+Codes tell cosines apart that differ by more than about 0.002: among more than ``FINAL``
+vectors that are closer to each other than that, which are reranked is chance.
 
-With 64 independent coordinates, as in the test tables, near and far rows differ little in
-any few coordinates, so windows must be wide to reach a recall of 0.9; on data of low
-intrinsic dimension a far smaller share does.
+*Work.* A query meets 3 * CURVES / BLOCKS of the rows, 45 % of them, however many there are:
+less than an exact scan, but in proportion to the rows. The shuffle is rows times curves
+(times the cells that their queries fill), whatever the number of queries per range.
 
-Vectors that are null, zero, hold null or non-finite components, or have another length
-than most take no part, nor do rows without a vec_id. Rows that repeat a vec_id count once,
-with the smallest vector. Fewer than k candidates give as many ranks. Extra columns are
-ignored.
+Of equal vectors only the k + 1 smallest vec_ids are candidates: any other loses every tie
+against k of them, so this drops no result and keeps a hot vector from filling ranges.
+
+Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor
+do rows without a vec_id. Vectors of different lengths have no cosine and are indexed apart.
+Rows that repeat a vec_id count once, with the smallest vector. Fewer than k candidates give
+as many ranks. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,9 +46,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import cut
+from .textblocks import U, mix
 
-CURVES, DIMENSIONS, BITS, SHARE, PARTITION_ROWS, QUERY_BLOCK = 4, 3, 16, 0.25, 4096, 4096
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+CURVES, DIMENSIONS, BITS, BLOCKS, BLOCK_ROWS, SAMPLE = 48, 15, 4, 320, 128, 20_000
+CELL_ROWS, CELL_QUERIES, PARTITION_ROWS, FINAL = 32_768, 65_536, 1_000_000, 40
+_POSTINGS = pa.schema([("to", pa.int32()), ("length", pa.int32()), ("asks", pa.bool_()), ("cells", pa.binary()), ("ids", pa.binary()), ("codes", pa.binary())])
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("near", pa.float32())])
+_SUB, _ASK, _BLOCK = 22, 14, 12  # bits of a cell's number: rows dealt, queries dealt, range; the curve stands above
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -69,98 +84,235 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def _normal_share(x: np.ndarray) -> np.ndarray:
-    """The normal distribution function, by its logistic approximation."""
-    return 1 / (1 + np.exp(-np.clip(1.5976 * x + 0.07056 * x**3, -500, 500)))
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors; scaled by powers of two first, so that no square over- or underflows."""
+    scaled = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+    return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
+
+
+@lru_cache(maxsize=256)
+def _curve(curve: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The curve's axes and shifts."""
+    random = np.random.default_rng([curve, length])
+    m = min(DIMENSIONS, length)
+    axes, _ = np.linalg.qr(random.standard_normal((length, m)))
+    return axes, random.random(m)
+
+
+def curve_keys(units: np.ndarray, curve: int) -> np.ndarray:
+    axes, shift = _curve(curve, units.shape[1])
+    x = (units @ axes) * np.sqrt(units.shape[1])
+    share = 1 / (1 + np.exp(-np.clip(1.5976 * x + 0.07056 * x**3, -500, 500)))  # the normal distribution, by its logistic approximation
+    bits = min(15, BITS * DIMENSIONS // len(shift))
+    place = (share + shift) / 2 * (1 << bits)
+    return hilbert(np.clip(place.astype(np.int64), 0, (1 << bits) - 1), bits).astype(np.int64)
+
+
+def coded(units: np.ndarray) -> np.ndarray:
+    """Vectors in 8 bits a component, each scaled to its own largest."""
+    return np.rint(units * (127 / np.abs(units).max(axis=1, keepdims=True))).astype(np.int8)
+
+
+class Ranges:
+    """What is broadcast: the cuts of each curve, and into how many cells a range's rows are dealt."""
+
+    def __init__(self, keys: dict[int, np.ndarray], rows: int, queries: int, blocks: int, block_rows: int):
+        """keys: by the vectors' length, the sample's keys (rows, curves)."""
+        total = sum(len(x) for x in keys.values())
+        self.asks = max(1, -(-3 * queries // (blocks * CELL_QUERIES)))
+        self.cuts: dict[tuple[int, int], np.ndarray] = {}
+        self.deal: dict[tuple[int, int], np.ndarray] = {}
+        for length, own in keys.items():
+            held = rows * len(own) / total
+            n = int(min(blocks, max(1, held // block_rows)))
+            if n <= 2:
+                n = 1
+            for curve in range(own.shape[1]):
+                key = np.sort(own[:, curve])
+                cuts = np.unique(key[(np.arange(1, n) * len(key)) // n])
+                share = np.bincount(np.searchsorted(cuts, key, "right"), minlength=len(cuts) + 1) / len(key)
+                self.cuts[length, curve] = cuts
+                self.deal[length, curve] = np.maximum(1, np.ceil(share * held / CELL_ROWS)).astype(np.int64)
+
+    def at(self, length: int, curve: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key's range, and the numbers of cells of all ranges."""
+        cuts = self.cuts.get((length, curve))
+        if cuts is None:  # a length that the sample does not have: one range
+            return np.zeros(len(key), np.int64), np.ones(1, np.int64)
+        return np.searchsorted(cuts, key, "right"), self.deal[length, curve]
+
+
+def _cell(curve: int, block: np.ndarray, ask: np.ndarray, sub: np.ndarray) -> np.ndarray:
+    return (((curve << _BLOCK) + block << _ASK) + ask << _SUB) + sub
+
 
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of counts: its index so many times, and the numbers 0, 1, .. beside it."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    return of, np.arange(len(of)) - np.repeat(np.r_[0, np.cumsum(counts)][:-1], counts)
 
-def curve_keys(vectors: np.ndarray, curve: int, dimensions: int = DIMENSIONS, bits: int = BITS) -> np.ndarray:
-    random = np.random.default_rng([curve, vectors.shape[1]])
-    m = min(dimensions, vectors.shape[1])
-    axes, _ = np.linalg.qr(random.standard_normal((vectors.shape[1], m)))
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    share = (_normal_share((unit @ axes) * np.sqrt(vectors.shape[1])) + random.random(m)) % 1.0
-    return hilbert(np.minimum((share * (1 << bits)).astype(np.int64), (1 << bits) - 1), bits).astype(np.int64)
 
+def row_cells(ranges: Ranges, length: int, curve: int, key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell): the cell of each row, once for each cell that its range's queries fill."""
+    block, deal = ranges.at(length, curve, key)
+    sub = (mix(ids.astype(U)) % deal[block].astype(U)).astype(np.int64)
+    of, ask = _spread(np.full(len(key), ranges.asks))
+    return of, _cell(curve, block[of], ask, sub[of])
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
+def query_cells(ranges: Ranges, length: int, curve: int, key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, cell): the cells of each query's range and its neighbours."""
+    own, deal = ranges.at(length, curve, key)
+    ask = (mix(ids.astype(U) + U(1)) % U(ranges.asks)).astype(np.int64)
+    found = []
+    for block in (own - 1, own, own + 1):
+        some = np.flatnonzero((block >= 0) & (block < len(deal)))
+        of, sub = _spread(deal[block[some]])
+        found.append((some[of], _cell(curve, block[some[of]], ask[some[of]], sub)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-def _keyed(curves: int):
-    def run(batches):
+
+def _by_length(batch: pa.RecordBatch, name: str = "embedding") -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The batch's rows of each length, and their vectors."""
+    column = batch.column(name)
+    size = column.value_lengths().to_numpy(zero_copy_only=False)
+    for length in np.unique(size):
+        rows = np.flatnonzero(size == length)
+        yield rows, column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), int(length))
+
+
+def _keys(curves: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = _matrix(batch.column("embedding"))
-            for curve in range(curves):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vectors), curve), pa.int32()), pa.array(curve_keys(vectors, curve)), batch.column("vec_id"), batch.column("embedding"), batch.column("candidate")], ["curve", "key", "vec_id", "embedding", "candidate"])
+            for _, vectors in _by_length(batch):
+                units = unit(vectors)
+                keys = np.stack([curve_keys(units, c) for c in range(curves)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([vectors.shape[1]], pa.int32()), pa.array([keys.tobytes()], pa.binary())], ["length", "keys"])
+
+    return run
+
+
+def _postings(shared, curves: int, n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges = shared.value
+        for batch in batches:
+            ids, flags = batch.column("vec_id").to_numpy(), {x: batch.column(x).to_numpy(zero_copy_only=False) for x in ("candidate", "asks")}
+            for rows, vectors in _by_length(batch):
+                units, length = unit(vectors), vectors.shape[1]
+                codes = coded(units)
+                for curve in range(curves):
+                    key = curve_keys(units, curve)
+                    for asks, cells in ((False, row_cells), (True, query_cells)):
+                        some = np.flatnonzero(flags["asks" if asks else "candidate"][rows])
+                        if not len(some):
+                            continue
+                        of, cell = cells(ranges, length, curve, key[some], ids[rows[some]])
+                        to = (mix(cell.astype(U)) % U(n)).astype(np.int32)
+                        order = np.argsort(to, kind="stable")
+                        of, cell = some[of[order]], cell[order]
+                        edge = np.flatnonzero(np.r_[True, np.diff(to[order]) != 0, True])
+                        parts = list(zip(edge[:-1], edge[1:], strict=True))
+                        columns = [[x[a:b].tobytes() for a, b in parts] for x in (cell, ids[rows[of]], codes[of])]
+                        yield pa.RecordBatch.from_arrays([pa.array(to[order][edge[:-1]]), pa.array(np.full(len(parts), length), pa.int32()), pa.array(np.full(len(parts), asks)), *(pa.array(c, pa.binary()) for c in columns)], schema=_POSTINGS)
 
     return run
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of the k best of ids for each query, itself left out; ties to the smaller id."""
-    order = np.argsort(ids)
-    vectors, ids = vectors[order], ids[order]
-    norm, query_norm = np.sqrt((vectors * vectors).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
-    unit = vectors / norm[:, None]
+def best(queries: np.ndarray, query_ids: np.ndarray, codes: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, near) of each query's k best of the codes, itself left out."""
+    rows = codes.astype(np.float32)
+    rows /= np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     out = []
-    for at in range(0, len(queries), block):
-        q = queries[at : at + block]
-        near = (q / query_norm[at : at + block, None]) @ unit.T
-        near[query_ids[at : at + block, None] == ids[None, :]] = -np.inf
+    for at in range(0, len(queries), 256):
+        asked, own = queries[at : at + 256].astype(np.float32), query_ids[at : at + 256]
+        near = (asked / np.sqrt((asked * asked).sum(axis=1, keepdims=True))) @ rows.T
+        near[own[:, None] == ids[None, :]] = -np.inf
         if near.shape[1] > k:
-            last = np.partition(near, near.shape[1] - k, axis=1)[:, -k]
+            place = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
         else:
-            last = np.full(len(q), -np.inf)
-        row, column = np.nonzero((near >= last[:, None] - 1e-9) & (near > -np.inf))
-        score = (q[row] * vectors[column]).sum(axis=1) / (query_norm[at + row] * norm[column])
-        rank = np.lexsort((ids[column], -score, row))
-        row, column, score = row[rank], column[rank], score[rank]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = place < k
-        out.append((query_ids[at + row[keep]], ids[column[keep]], score[keep]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-
-
-def _met(k: int):
-    def run(_key, queries: pa.Table, rows: pa.Table) -> pa.Table:
-        if not queries.num_rows or not rows.num_rows:
-            return _FOUND.empty_table()
-        found = best(_matrix(queries.column("query")), queries.column("query_id").to_numpy(), _matrix(rows.column("embedding")), rows.column("vec_id").to_numpy(), k)
-        return pa.table([pa.array(c, f.type) for c, f in zip(found, _FOUND, strict=True)], schema=_FOUND)
+            place = np.tile(np.arange(near.shape[1]), (len(own), 1))
+        score = np.take_along_axis(near, place, axis=1)
+        some = score > -np.inf
+        out.append((np.repeat(own, place.shape[1]).reshape(place.shape)[some], ids[place[some]], score[some]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _met(kept: int):
+    """The queries of each cell of a partition against its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, bool], list[list[bytes]]] = defaultdict(lambda: [[], [], []])
+        for batch in batches:
+            for length, asks, *packed in zip(*(batch.column(c).to_pylist() for c in ("length", "asks", "cells", "ids", "codes")), strict=True):
+                for out, x in zip(held[length, asks], packed, strict=True):
+                    out.append(x)
+        found = []
+        for length in sorted({x for x, _ in held}):
+            if (length, True) not in held or (length, False) not in held:
+                continue
+            sides = []
+            for asks in (True, False):
+                cell, ids, codes = (b"".join(x) for x in held.pop((length, asks)))
+                cell, ids, codes = np.frombuffer(cell, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(codes, np.int8).reshape(-1, length)
+                order = np.lexsort((ids, cell))
+                sides.append((cell[order], ids[order], codes[order]))
+            (ask_cell, ask_ids, ask_codes), (cell, ids, codes) = sides
+            for c in np.unique(ask_cell):
+                a, b = np.searchsorted(cell, c, "left"), np.searchsorted(cell, c, "right")
+                x, y = np.searchsorted(ask_cell, c, "left"), np.searchsorted(ask_cell, c, "right")
+                if b > a:
+                    found.append(best(ask_codes[x:y], ask_ids[x:y], codes[a:b], ids[a:b], kept))
+        if found:
+            query, vec, near = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((vec, query))
+            query, vec, near = query[order], vec[order], near[order]
+            new = np.ones(len(query), bool)
+            new[1:] = (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(query[new]), pa.array(vec[new]), pa.array(near[new], pa.float32())], schema=_FOUND)
 
     return run
 
 
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cosines of the original vectors, in double precision."""
+    for batch in batches:
+        for (rows, asked), (_, vectors) in zip(_by_length(batch, "asked"), _by_length(batch), strict=True):
+            asked, vectors = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) for x in (asked, vectors))
+            score = (asked * vectors).sum(axis=1) / (np.sqrt((asked * asked).sum(axis=1)) * np.sqrt((vectors * vectors).sum(axis=1)))
+            of = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(of), batch.column("vec_id").take(of), pa.array(score)], ["query_id", "vec_id", "score"])
+
+
 def usable(embeddings: DataFrame) -> DataFrame:
     """(vec_id, embedding) that take part, as doubles."""
     own = embeddings.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    own = own.where(F.coalesce(fine, F.lit(False))).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    usual = own.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).select("n")
-    return own.join(F.broadcast(usual), F.size("embedding") == F.col("n")).drop("n")
+    return own.where(F.coalesce(fine, F.lit(False))).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def search(embeddings: DataFrame, is_query, k: int = 5, curves: int = CURVES, share: float = SHARE, partition_rows: int = PARTITION_ROWS) -> DataFrame:
+def search(embeddings: DataFrame, is_query, k: int = 5, curves: int = CURVES, blocks: int = BLOCKS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row that is_query (a Column of vec_id) holds for."""
+    spark = embeddings.sparkSession
     same = Window.partitionBy("embedding").orderBy("vec_id")
+    asks = F.coalesce(is_query, F.lit(False))
     rows = usable(embeddings)
     first = rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).select("vec_id", F.lit(True).alias("candidate"))
-    rows = cut(rows.join(first, "vec_id", "left").withColumn("candidate", F.coalesce("candidate", F.lit(False))).where(F.col("candidate") | is_query))
-    count = rows.count()
-    per_curve = max(1, -(-count // partition_rows))
-    keyed = rows.mapInArrow(_keyed(curves), "curve int, key bigint, vec_id bigint, embedding array<double>, candidate boolean")
-    placed = cut(keyed.repartitionByRange(max(2, curves * per_curve), "curve", "key", "vec_id").withColumn("part", F.spark_partition_id()))
-    bounds = placed.groupBy("curve").agg(F.min("part").alias("low"), F.max("part").alias("high"))  # a row a curve
-
-    reach = F.ceil(F.lit(share) * (F.col("high") - F.col("low") + 1)).cast("int")
-    blocks = max(1, -(-rows.where(is_query).count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    asked = placed.where(is_query).join(F.broadcast(bounds), "curve").select("curve", F.explode(F.sequence(F.greatest("low", F.col("part") - reach), F.least("high", F.col("part") + reach))).alias("part"), block.alias("block"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    offered = placed.where("candidate").select(F.col("curve").alias("c"), F.col("part").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "vec_id", "embedding")
-    found = asked.groupBy("curve", "part", "block").cogroup(offered.groupBy("c", "p", "b")).applyInArrow(_met(k), "query_id bigint, vec_id bigint, score double")
-    ranked = found.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    rows = cut(rows.join(first, "vec_id", "left").select("vec_id", "embedding", F.coalesce("candidate", F.lit(False)).alias("candidate"), asks.alias("asks")).where("candidate or asks"))
+    count, queries = rows.agg(F.count("*"), F.count_if("asks")).first()
+
+    one_in = max(1, count // SAMPLE)
+    sampled = rows.where(F.col("candidate") & (F.pmod(F.xxhash64("vec_id"), F.lit(one_in)) == 0)).mapInArrow(_keys(curves), "length int, keys binary")
+    keys: dict[int, list[np.ndarray]] = defaultdict(list)
+    for length, own in sampled.collect():  # about SAMPLE rows' keys
+        keys[length].append(np.frombuffer(own, np.int64).reshape(-1, curves))
+    ranges = spark.sparkContext.broadcast(Ranges({x: np.concatenate(own) for x, own in keys.items()}, count, queries, blocks, block_rows))
+
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count * curves // PARTITION_ROWS))
+    posted = rows.mapInArrow(_postings(ranges, curves, n), "to int, length int, asks boolean, cells binary, ids binary, codes binary")
+    found = posted.repartitionById(n, "to").mapInArrow(_met(k + 7), "query_id bigint, vec_id bigint, near float")
+    nearest = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
+    finals = found.groupBy("query_id", "vec_id").agg(F.max("near").alias("near")).withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= max(FINAL, 4 * k)).select("query_id", "vec_id")
+    asked = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    scored = finals.join(asked, "query_id").join(rows.select("vec_id", "embedding"), "vec_id").mapInArrow(_scored, "query_id bigint, vec_id bigint, score double")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
