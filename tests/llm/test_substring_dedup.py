@@ -1,7 +1,9 @@
 import hashlib
 
+import numpy as np
 import pytest
 
+from inkstone.llm import substring_dedup as s
 from inkstone.llm.substring_dedup import remove_repeats
 
 from .helpers import WORD, awkward, documents, first_texts, prose
@@ -50,3 +52,42 @@ def test_repeats_are_the_removed_ranges(spark):
 
 def test_empty_table(spark):
     assert run(documents(spark, [])) == {}
+
+
+@pytest.mark.parametrize("most", [1, 6, 10_000])
+def test_prefixes_lengthen_until_a_group_fits(spark, monkeypatch, most):
+    """Groups of 8, 14 and 20 words, by how many suffixes one may have."""
+    passage, other = prose(50, 60), prose(51, 200, 9)
+    rows = [(k, prose(100 + k, 30) + " " + " ".join(passage.split()[k % 9 : 50 + k % 5]) + f" end{k % 3} " + prose(200 + k, 25)) for k in range(40)]
+    rows += [(k, other if k % 2 else prose(60, 30) + " " + other[k:]) for k in range(100, 112)]
+    lengths = set()
+    real = s._suffixes
+
+    def noted(window, prefix, n, over, over_longer):
+        lengths.update({8} | ({14} if len(over.value) else set()) | ({20} if len(over_longer.value) and len(over.value) else set()))
+        return real(window, prefix, n, over, over_longer)
+
+    monkeypatch.setattr(s, "_suffixes", noted)
+    monkeypatch.setattr(s, "GROUP_BYTES", most * (20 + s.WORD * 32))
+    assert run(documents(spark, rows)) == brute(rows)
+    assert lengths == ({8} if most == 10_000 else {8, 14, 20})
+
+
+def test_equal_suffixes_leave_a_task_once(monkeypatch):
+    words = np.arange(32 * 3, dtype=np.uint64).reshape(3, 32)
+    out = s._Suffixes(4)
+    k = 1000
+    of = np.arange(k) % 3
+    list(out.add(of.astype(np.uint64), np.arange(k), np.zeros(k, int), np.ones(k, np.int64), words[of]))
+    rows = [b.to_pylist() for b in out.deal()]
+    posted = [r for b in rows for r in b if r["labels"] is not None]
+    known = [r for b in rows for r in b if r["labels"] is None]
+    assert sum(len(r["docs"]) // 8 for r in posted) == 3 and sum(len(r["docs"]) // 8 for r in known) == k - 3
+
+
+def test_a_subtree_tells_left_contexts_apart():
+    """Three suffixes that share their words to the right; two of them share the word to the left as well."""
+    left = 2
+    words = np.array([[1, 2, 5, 6, 7, 8], [9, 2, 5, 6, 7, 8], [3, 4, 5, 6, 7, 8]], np.uint64)
+    got = s.subtree_repeats(np.zeros(3, np.uint64), np.arange(3), np.zeros(3, int), np.full(3, 0b111), words, 4, left)
+    assert got.tolist() == [0, 0b011, 0b001]
