@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+HUB_EDGES, HUBS = 1000, 100_000
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
@@ -51,19 +53,31 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _beside(edges: DataFrame, end: str, least: DataFrame) -> DataFrame:
+    """The edges with ``low`` of the node at one end, or null.
+
+    Nodes of more than ``HUB_EDGES`` edges there, the ``HUBS`` largest at most, are broadcast
+    to the edges, so the shuffled join of the others meets no hot key.
+    """
+    most = edges.groupBy(F.col(end).alias("hub")).count().where(F.col("count") > HUB_EDGES).orderBy(F.desc("count"), "hub").limit(HUBS)
+    hubs = F.broadcast(most.join(least, F.col("hub") == F.col("node"), "left").select("hub", F.col("low").alias("hub_low")))
+    met = edges.join(hubs, F.col(end) == F.col("hub"), "left")
+    others = met.where("hub is null").select("hi", "lo").join(least, F.col(end) == F.col("node"), "left").select("hi", "lo", "low")
+    return others.unionByName(met.where("hub is not null").select("hi", "lo", F.col("hub_low").alias("low")))
+
+
 def _star(edges: DataFrame) -> DataFrame:
     """One round over edges (hi, lo), hi > lo: the large star, then the small star.
 
     The large star hands each edge's upper end to the least node below its lower end; the
     small star ties all that lie below a node to the least of them. Both keep what is
-    connected connected. A node with very many edges is the lower end of them, where its
-    rows wait for one number: AQE may split them, and no task gathers them.
+    connected connected.
     """
-    least = edges.groupBy("hi").agg(F.min("lo").alias("low")).withColumnRenamed("hi", "node")
-    large = edges.join(least, F.col("lo") == F.col("node"), "left").select("hi", F.coalesce("low", "lo").alias("lo")).distinct()
-    below = large.groupBy("hi").agg(F.min("lo").alias("low"))
-    tied = large.join(below.withColumnRenamed("hi", "node"), F.col("hi") == F.col("node")).where("lo > low").select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
-    return below.select("hi", F.col("low").alias("lo")).unionByName(tied).distinct()
+    least = edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("low"))
+    large = _beside(edges, "lo", least).select("hi", F.coalesce("low", "lo").alias("lo")).distinct()
+    below = large.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("low"))
+    tied = _beside(large, "hi", below).where("lo > low").select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
+    return below.select(F.col("node").alias("hi"), F.col("low").alias("lo")).unionByName(tied).distinct()
 
 
 def _settled(edges: DataFrame) -> bool:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from inkstone.llm import minhash_dedup as m
+from inkstone.llm import shared
 from inkstone.llm.shared import components
 
 from .helpers import WORD, awkward, documents, first_texts, prose
@@ -136,7 +137,9 @@ def test_components_of_a_long_path_take_few_rounds(spark, ids):
     assert len(rounds) <= 20
 
 
-def test_components_match_brute_force_on_random_graphs(spark):
+@pytest.mark.parametrize("hub_edges", [1000, 3])
+def test_components_match_brute_force_on_random_graphs(spark, monkeypatch, hub_edges):
+    monkeypatch.setattr(shared, "HUB_EDGES", hub_edges)
     r = random.Random(8)
     pairs = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(7, 400 + k) for k in range(100)]
     up = {n: n for p in pairs for n in p}
