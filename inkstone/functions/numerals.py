@@ -164,48 +164,70 @@ class Segment(NamedTuple):
 
 #: Characters after which a number is a label, not a count; signs beside an identifier.
 LABELLED, SMALL_UNITS, IDENTIFIER = frozenset("月日号號楼樓路班期"), frozenset("十百"), frozenset(":：-－—–/／")
-_TIME = re.compile(r"([0-9]{1,2})[:：]([0-9]{2})(?![0-9])")
+_FIGURES = r"[0-9][0-9,]*+(?:\.[0-9]+)?+"
+_SIGNS = "".join(map(re.escape, sorted(IDENTIFIER)))
+#: What digits in a text may be: a time of day (and figures that hang on it), part of an identifier, or a number.
+_TOKEN = re.compile(
+    rf"(?P<hour>[01]?[0-9]|2[0-3])[:：](?P<minute>[0-5][0-9])(?![0-9])(?P<rest>(?:,[0-9,]*)?(?:\.[0-9]+)?)"
+    rf"|(?<=[{_SIGNS}]){_FIGURES}|{_FIGURES}(?=[{_SIGNS}])"
+    rf"|(?P<number>{_FIGURES})(?P<percent>[%％]?)"
+)
+
+
+class Place(NamedTuple):
+    """A number where it stands: its digits, and whether it is a share, a year or a count."""
+
+    digits: str
+    share: bool
+    year: bool
+    count: bool
+
+
+#: Which places take which style and wording, the first that holds.
+_WORDINGS = (
+    (lambda p: p.share, lambda p: ("cardinal", numeral(p.digits), "百分之")),
+    (lambda p: p.year, lambda p: ("digits", numeral(p.digits, "digits"), "")),
+    (lambda p: True, lambda p: ("cardinal", numeral(p.digits, counts=p.count), "")),
+)
+
+
+def _clock_words(found: re.Match) -> list[str]:
+    hour, minute = int(found["hour"]), int(found["minute"])
+    minutes = [("零" if minute < 10 else "") + cardinal(minute), "分"] if minute else []
+    return ["两" if hour == 2 else cardinal(hour), "点", *minutes]
+
+
+def _placed(found: re.Match, before: str, after: str) -> Place:
+    text, touches = found.string, found.end() == len(found.string)
+    leads = text[found.start() - 1] if found.start() else before
+    counted = touches and after != "" and after not in LABELLED | SMALL_UNITS and leads != "第"
+    return Place(found["number"].replace(",", ""), found["percent"] != "", after == "年" and len(found["number"]) == 4, counted)
+
+
+def _worded(found: re.Match, before: str, after: str) -> Segment | None:
+    """The number that a token is, or None."""
+    if found["hour"]:
+        words = _clock_words(found)
+        return Segment(found[0][: len(found[0]) - len(found["rest"])], "".join(words), "cardinal", tuple(map(len, words)))
+    if not found["number"]:
+        return None
+    place = _placed(found, before, after)
+    style, hanzi, lead = next(wording(place) for holds, wording in _WORDINGS if holds(place))
+    if hanzi is None:
+        return None
+    whole, point, tail = (lead + hanzi).partition("点")
+    words = (len(whole), *(1 for _ in point + tail)) if point and style != "digits" else None
+    return Segment(found[0], lead + hanzi, style, words)
 
 
 def segments(text: str, before: str, after: str) -> list[Segment]:
     """The numbers of a non-Han run; before and after are the Han characters beside it, or empty."""
-    out: list[Segment] = []
-    done = 0
-
-    def take(start: int, end: int, hanzi: str, style: str, words: tuple[int, ...] | None) -> None:
-        nonlocal done
-        if start > done:
-            out.append(Segment(text[done:start]))
-        out.append(Segment(text[start:end], hanzi, style, words))
-        done = end
-
-    for found in re.finditer(r"[0-9][0-9,]*(?:\.[0-9]+)?", text):
-        start, end = found.span()
-        if start < done:
-            continue
-        clock = _TIME.match(text, start)
-        if clock and int(clock[1]) < 24 and int(clock[2]) < 60:
-            hour, minute = int(clock[1]), int(clock[2])
-            said = "两" if hour == 2 else cardinal(hour)
-            rest = "" if not minute else ("零" if minute < 10 else "") + cardinal(minute)
-            take(start, clock.end(), said + "点" + (rest + "分" if rest else ""), "cardinal", (len(said), 1, len(rest), 1) if rest else (len(said), 1))
-            continue
-        follows, leads = text[end : end + 1], text[start - 1 : start] if start else ""
-        if follows in IDENTIFIER and follows or leads in IDENTIFIER and leads:
-            continue
-        percent = follows in ("%", "％") and follows != ""
-        style = "digits" if not percent and after == "年" and end - start == 4 else "cardinal"
-        counting = not follows and after != "" and after not in LABELLED and after not in SMALL_UNITS and (leads or before) != "第"
-        hanzi = numeral(found[0].replace(",", ""), style, counts=counting and not percent)
-        if hanzi is None:
-            continue
-        hanzi = "百分之" + hanzi if percent else hanzi
-        at = hanzi.find("点")
-        words = (at, *(1,) * (len(hanzi) - at)) if at >= 0 and style != "digits" else None
-        take(start, end + percent, hanzi, style, words)
-    if done < len(text):
-        out.append(Segment(text[done:]))
-    return out
+    numbers = [(m.start(), s) for m in _TOKEN.finditer(text) if (s := _worded(m, before, after))]
+    starts = [at for at, _ in numbers] + [len(text)]
+    ends = [0] + [at + len(s.text) for at, s in numbers]
+    between = [Segment(text[a:b]) for a, b in zip(ends, starts, strict=True)]
+    every = [x for pair in zip(between, [s for _, s in numbers], strict=False) for x in pair] + between[-1:]
+    return [x for x in every if x.text]
 
 
 def said(segment: Segment, follows: Syllable | None, on: bool = True, third: bool = False) -> tuple[Syllable, ...]:

@@ -326,7 +326,8 @@ def convert_taiwan(spark, sf_dir):
 
 @_query
 def convert_pieces(spark, sf_dir):
-    pieces = _decoded(spark, sf_dir, lambda t, c: t.pieces(c), "pieces").select("o_orderkey", F.posexplode("pieces").alias("at", "p"))
+    # the outer form, as the inner one would have the pieces' size filtered, and so decoded, before texts are made distinct
+    pieces = _decoded(spark, sf_dir, lambda t, c: t.pieces(c), "pieces").select("o_orderkey", F.posexplode_outer("pieces").alias("at", "p")).where("at is not null")
     return pieces.select("o_orderkey", "at", F.col("p.text").alias("text"), F.col("p.syllable.tone").alias("tone"), F.col("p.locked").alias("locked"), F.col("p.uncertain").alias("uncertain"), F.size("p.alternatives").alias("alternatives"))
 
 

@@ -1,4 +1,4 @@
-import importlib.util
+import importlib
 import re
 from pathlib import Path
 
@@ -40,9 +40,23 @@ def test_flagship(spark):
 
 
 def test_library_stands_without_the_training_data_part(monkeypatch):
-    real = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("inkstone.llm", "corpus_pipeline") else real(name, *a))
+    real = importlib.import_module
+
+    def without(name, *a):
+        if name.split(".")[:2] == ["inkstone", "llm"] or name == "corpus_pipeline":
+            raise ImportError(name)
+        return real(name, *a)
+
+    monkeypatch.setattr(importlib, "import_module", without)
     assert sorted(entry.queries()) == OWN
+    assert set(entry.oracle_sql()) <= set(OWN)
+
+
+def test_a_text_is_decoded_once(spark):
+    plan = entry.engine.queries()["convert_pieces"](spark, TINY)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("ArrowEvalPython", plan)) == 1
+    below = plan[plan.index("ArrowEvalPython") :]
+    assert re.search("Aggregate|Deduplicate|Distinct", below)  # made distinct before
 
 
 def test_nothing_imports_the_training_data_part():
