@@ -265,7 +265,8 @@ def _crowded(block: Block, spots: list[bytes], window: int, prefix: int) -> tupl
     starts, anchor, grams = anchors(block, window, prefix)
     crowded = np.zeros(len(block.ws) + 1, bool)
     for r in range(block.n):
-        crowded[block.wo[r] + np.frombuffer(spots[block.first_row + r], np.int32)] = True
+        own = np.frombuffer(spots[block.first_row + r], np.int32)
+        crowded[block.wo[r] + own[own < block.n_words[r]]] = True  # a place of another row of the doc_id may lie behind this one's end
     some = crowded[anchor]
     return starts[some], anchor[some], grams
 
@@ -468,7 +469,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
         raw = b"".join(r[0] for r in counted.where("labels is not null").select("labels").collect())
         return spark.sparkContext.broadcast(np.unique(_of_six(raw)))
 
-    counted = cut(texts.mapInArrow(_prefixes(window, prefix, n), _COUNTED_DDL).repartitionById(n, "to").mapInArrow(_counted(n, most, True), _COUNTED_DDL))
+    # counted over all rows as they lie, so that texts are moved once, later; rows that share a doc_id only add prefixes
+    counted = cut(named.mapInArrow(_prefixes(window, prefix, n), _COUNTED_DDL).repartitionById(n, "to").mapInArrow(_counted(n, most, True), _COUNTED_DDL))
     crowded = counted.where("labels is null")
     split = over(counted)
     spots = texts.join(crowded.repartitionById(n, "to").mapInArrow(_documents(0), "doc_id bigint, spots binary"), "doc_id")
