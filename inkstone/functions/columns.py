@@ -144,7 +144,11 @@ def read_candidates(text: Column, system: str, tones: p.ToneTable = p.NO_TONES)
     return _udf(lambda v: [p.write(s, "numbers") for s in readers[system](v)], "array<string>")(text)
 
 
+def opens_with_vowel(text: Column) -> Column:
+    """Whether it begins with a, o or e, marked or not."""
+    return text.rlike("^[aoeAOEāáǎàōóǒòēéěèĀÁǍÀŌÓǑÒĒÉĚÈ]")
+
+
 def apostrophes_column(spellings: Column) -> Column:
     """An array of a word's syllables, an apostrophe before each inner one that begins with a, o or e."""
-    vowel = "^[aoeAOEāáǎàōóǒòēéěèĀÁǍÀŌÓǑÒĒÉĚÈ]"
-    return F.transform(spellings, lambda x, k: F.when((k > 0) & x.rlike(vowel), F.concat(F.lit("'"), x)).otherwise(x))
+    return F.transform(spellings, lambda x, k: F.when((k > 0) & opens_with_vowel(x), F.concat(F.lit("'"), x)).otherwise(x))

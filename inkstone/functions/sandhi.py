@@ -66,6 +66,12 @@ def apply(syllables, yi_bu_on: bool = True, third: bool = False, grouping: list
     return yi_bu(out) if yi_bu_on else out
 
 
+def third_tone_column(spellings: Column) -> Column:
+    """Third tones before third tones become second, each read from its unchanged neighbour; syllables in numbers notation."""
+    follows = lambda k: F.coalesce(F.get(spellings, k + 1), F.lit(""))
+    return F.transform(spellings, lambda x, k: F.when(x.endswith("3") & follows(k).endswith("3"), F.regexp_replace(x, "3$", "2")).otherwise(x))
+
+
 def yi_bu_column(spellings: Column) -> Column:
     """The 一 and 不 rules over an array of syllables in numbers notation, such as array('bu4', 'shi4')."""
 

@@ -7,6 +7,7 @@ are recursive. Reference tables (syllables, the sample dictionary) stand in it a
 
 from __future__ import annotations
 
+from . import source_queries
 from .functions.columns import syllable_rows
 from .functions.glyphs import CANONICAL, HONG_KONG
 from .functions.phonology import INVENTORY, parse
@@ -133,8 +134,11 @@ THEN CASE WHEN f LIKE '%4' THEN 'yi2' WHEN f IS NULL OR f LIKE '%5' THEN 'yi1' E
         "glyph_hongkong": f"SELECT o_orderkey, translate({_canonical}, '{''.join(HONG_KONG)}', '{''.join(HONG_KONG.values())}') AS hong_kong FROM orders",
         "run_split": r'''SELECT p_partkey, CAST("at" - 1 AS INT) AS run_no, runs["at"] AS text, regexp_matches(runs["at"], '^\p{Han}') AS is_han FROM (SELECT p_partkey, runs, unnest(range(1, len(runs) + 1)) AS "at" FROM (SELECT p_partkey, regexp_extract_all(CAST(p_size AS VARCHAR) || '个' || p_name || '大小', '\p{Han}+|[^\p{Han}]+') AS runs FROM part))''',
         "detect_script": f"SELECT o_orderkey, CASE WHEN hans > hant THEN 'Hans' WHEN hant > hans THEN 'Hant' END AS script FROM (SELECT o_orderkey, length(regexp_replace(t, '[^银长儿]', '', 'g')) AS hans, length(regexp_replace(t, '[^銀長兒]', '', 'g')) AS hant FROM (SELECT o_orderkey, text || CASE WHEN o_orderkey % 3 = 0 THEN '銀銀' ELSE '' END AS t FROM {_TEXTS}))",
-        "character_histogram": f"SELECT lang, character, count(*) AS n FROM (SELECT lang, unnest(string_split({_NON_ASCII}, '')) AS character FROM documents) WHERE character <> '' GROUP BY 1, 2",
-        "script_only_characters": f"SELECT min(lang) AS lang, character FROM (SELECT DISTINCT lang, unnest(string_split({_NON_ASCII}, '')) AS character FROM documents) WHERE character <> '' GROUP BY character HAVING count(*) = 1",
+        "character_histogram": f"SELECT character, count(*) AS n FROM (SELECT unnest(string_split({_NON_ASCII}, '')) AS character FROM documents) WHERE character <> '' GROUP BY 1",
+        "script_only_characters": f"""WITH e AS (SELECT {_pick([*WORDS, "abc"], "p_partkey")} AS hans, CASE WHEN p_partkey % 2 = 0 THEN {_pick([*WORDS, "abc"], "p_partkey")} ELSE {_pick(["銀長", "兒海", "abd"], "p_partkey // 62")} END AS hant FROM part),
+d AS (SELECT translate(hans, '{''.join(CANONICAL)}', '{''.join(CANONICAL.values())}') AS hans, translate(hant, '{''.join(CANONICAL)}', '{''.join(CANONICAL.values())}') AS hant FROM e WHERE hans <> hant),
+a AS (SELECT DISTINCT unnest(string_split(hans, '')) AS character FROM d), b AS (SELECT DISTINCT unnest(string_split(hant, '')) AS character FROM d)
+SELECT 'h' AS script, character FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'H', character FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
         "lattice_edges": f'SELECT run_id, CAST("start" AS INT) AS "start", CAST("end" AS INT) AS "end", ord, reading, round(cost, 4) AS cost FROM {_EDGES}',
         # of the rules, only the one on the r suffix finds its words in the sample dictionary
         "edge_rules": f"""SELECT run_id, CAST("start" AS INT) AS "start", CAST("end" AS INT) AS "end", reading FROM {_EDGES} WHERE NOT (size = 1 AND substr(run_id, CAST("start" AS INT), 2) = '玩儿' AND "start" > 0)""",
@@ -161,5 +165,6 @@ SELECT split_part(p_name, ' ', -1) AS key, 0 AS alias, p_partkey AS frequency, s
     for system in ("bopomofo", "wade_giles", "yale", "gwoyeu", "ipa"):
         sql[f"to_{system}"] = f"SELECT {system} AS written, count(*) AS n FROM {_joined(system)} GROUP BY 1"
     claims = f"""SELECT run_id, "at", count(DISTINCT ("start", "end", reading)) AS claims, min("start") AS s, max("end") AS e FROM (SELECT *, unnest(range("start", "end")) AS "at" FROM {_UNITS}) GROUP BY 1, 2"""
+    sql |= source_queries.oracle_sql()
     sql["reading_locks"] = f"WITH c AS MATERIALIZED ({claims}) " + sql["reading_locks"]
     return sql

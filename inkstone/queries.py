@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import source_queries
 from .functions import columns, glyphs, numerals, orthography, sandhi
 from .functions.phonology import INVENTORY
 from .operators import dictionary as dictionaries
@@ -33,7 +34,7 @@ def _query(function: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_found)
+    return _found | source_queries.queries()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,7 +142,7 @@ def syllable_parse(spark, sf_dir):
 
 @_query
 def separable_start(spark, sf_dir):
-    return _syllables(spark, sf_dir).groupBy(F.col("spelling").rlike("^[aoe]").alias("separable")).agg(F.count("*").alias("n"))
+    return _syllables(spark, sf_dir).groupBy(columns.opens_with_vowel(F.col("spelling")).alias("separable")).agg(F.count("*").alias("n"))
 
 
 def _system(name: str) -> Query:
@@ -186,9 +187,7 @@ def yi_bu_sandhi(spark, sf_dir):
 @_query
 def third_tone_flat(spark, sf_dir):
     """Third tones before third tones, read from the unchanged neighbour."""
-    s = F.col("syllables")
-    said = F.transform(s, lambda x, k: F.when(x.endswith("3") & F.coalesce(F.get(s, k + 1), F.lit("")).endswith("3"), F.regexp_replace(x, "3$", "2")).otherwise(x))
-    return _spoken(spark, sf_dir).select("l_orderkey", F.array_join(said, " ").alias("said"))
+    return _spoken(spark, sf_dir).select("l_orderkey", F.array_join(sandhi.third_tone_column(F.col("syllables")), " ").alias("said"))
 
 
 @_query
@@ -248,15 +247,19 @@ def detect_script(spark, sf_dir):
 
 @_query
 def character_histogram(spark, sf_dir):
-    letters = _table(spark, sf_dir, "documents").select("lang", F.explode(F.split(F.regexp_replace("text", r"[\x00-\x7F]", ""), "")).alias("character"))
-    return letters.where("character <> ''").groupBy("lang", "character").agg(F.count("*").alias("n"))
+    """How often each character beyond ASCII is written in documents."""
+    words = _table(spark, sf_dir, "documents").select(F.regexp_replace("text", r"[\x00-\x7F]", "").alias("text"))
+    return script_tables.character_counts(words, "text")
 
 
 @_query
 def script_only_characters(spark, sf_dir):
-    """Characters that only one language's documents hold: a set difference for each language."""
-    letters = _table(spark, sf_dir, "documents").select("lang", F.explode(F.array_distinct(F.split(F.regexp_replace("text", r"[\x00-\x7F]", ""), ""))).alias("character")).where("character <> ''").distinct()
-    return letters.groupBy("character").agg(F.min("lang").alias("lang"), F.count("*").alias("langs")).where("langs = 1").select("lang", "character")
+    """Characters that only one script's words have; words of odd parts are written otherwise in the second script."""
+    k = F.col("p_partkey")
+    hans = _pick([*WORDS, "abc"], k)
+    entries = _table(spark, sf_dir, "part").select(hans.alias("hans"), F.when(k % 2 == 0, hans).otherwise(_pick(["銀長", "兒海", "abd"], F.floor(k / 62))).alias("hant"), F.array().cast("array<string>").alias("variants"))
+    hans_only, hant_only = script_tables.one_script_characters(entries)
+    return hans_only.select(F.lit("h").alias("script"), "character").unionByName(hant_only.select(F.lit("H").alias("script"), "character"))
 
 
 # ---- lattice --------------------------------------------------------------------------
