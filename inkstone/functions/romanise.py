@@ -16,25 +16,24 @@ from functools import cache
 from . import phonology as p
 from .phonology import FINALS, INVENTORY, NEUTRAL, NO_TONES, Syllable, ToneTable
 
-# Onsets in the order of _ONSETS, rimes in the order of phonology.FINALS.
-_ONSETS = "b p m f d t n l g k h j q x zh ch sh r z c s".split()
-
-
-def _onsets(spelt: str) -> dict[str, str]:
-    return {"": "", **dict(zip(_ONSETS, spelt.split(), strict=True))}
-
-
-def _rimes(spelt: str) -> dict[str, str]:
-    return dict(zip(FINALS, spelt.split(), strict=True))
-
-
 _APICAL = frozenset(("zh", "ch", "sh", "r", "z", "c", "s"))
 _LABIAL = frozenset("bpmf")
 _nfc = lambda text: unicodedata.normalize("NFC", text)
 
 # ---- bopomofo -------------------------------------------------------------------------
-_B_ONSET = _onsets("ㄅ ㄆ ㄇ ㄈ ㄉ ㄊ ㄋ ㄌ ㄍ ㄎ ㄏ ㄐ ㄑ ㄒ ㄓ ㄔ ㄕ ㄖ ㄗ ㄘ ㄙ")
-_B_RIME = _rimes("ㄚ ㄛ ㄜ ㄝ ㄦ ㄞ ㄟ ㄠ ㄡ ㄢ ㄣ ㄤ ㄥ ㄨㄥ ㄧ ㄧㄚ ㄧㄝ ㄧㄠ ㄧㄡ ㄧㄢ ㄧㄣ ㄧㄤ ㄧㄥ ㄩㄥ ㄨ ㄨㄚ ㄨㄛ ㄨㄞ ㄨㄟ ㄨㄢ ㄨㄣ ㄨㄤ ㄨㄥ ㄩ ㄩㄝ ㄩㄢ ㄩㄣ ㄧㄛ ㄇ ㄋ ㄫ")
+#: Fixed values.
+_B_ONSET = {
+    "": "", "b": "ㄅ", "p": "ㄆ", "m": "ㄇ", "f": "ㄈ", "d": "ㄉ", "t": "ㄊ", "n": "ㄋ", "l": "ㄌ", "g": "ㄍ", "k": "ㄎ",
+    "h": "ㄏ", "j": "ㄐ", "q": "ㄑ", "x": "ㄒ", "zh": "ㄓ", "ch": "ㄔ", "sh": "ㄕ", "r": "ㄖ", "z": "ㄗ", "c": "ㄘ", "s": "ㄙ",
+}
+#: Fixed values.
+_B_RIME = {
+    "a": "ㄚ", "o": "ㄛ", "e": "ㄜ", "ê": "ㄝ", "er": "ㄦ", "ai": "ㄞ", "ei": "ㄟ", "ao": "ㄠ", "ou": "ㄡ", "an": "ㄢ",
+    "en": "ㄣ", "ang": "ㄤ", "eng": "ㄥ", "ong": "ㄨㄥ", "i": "ㄧ", "ia": "ㄧㄚ", "ie": "ㄧㄝ", "iao": "ㄧㄠ", "iou": "ㄧㄡ",
+    "ian": "ㄧㄢ", "in": "ㄧㄣ", "iang": "ㄧㄤ", "ing": "ㄧㄥ", "iong": "ㄩㄥ", "u": "ㄨ", "ua": "ㄨㄚ", "uo": "ㄨㄛ", "uai": "ㄨㄞ",
+    "uei": "ㄨㄟ", "uan": "ㄨㄢ", "uen": "ㄨㄣ", "uang": "ㄨㄤ", "ueng": "ㄨㄥ", "ü": "ㄩ", "üe": "ㄩㄝ", "üan": "ㄩㄢ", "ün": "ㄩㄣ",
+    "io": "ㄧㄛ", "m": "ㄇ", "n": "ㄋ", "ng": "ㄫ",
+}
 _B_TONE = {1: "ˉ", 2: "ˊ", 3: "ˇ", 4: "ˋ", NEUTRAL: "˙"}
 _B_READ = {**{v: k for k, v in _B_TONE.items()}, "¯": 1, "´": 2, "`": 4, "·": NEUTRAL}
 _B_ER = "ㄦ"
@@ -53,7 +52,7 @@ def _bopomofo_index() -> dict[str, tuple[str, str, bool]]:
     """Written symbols to sounds, for every onset and rime; spellings with an onset go first."""
     out: dict[str, tuple[str, str, bool]] = {}
     for er in (False, True):
-        for onset in (*_ONSETS, ""):
+        for onset in (*filter(None, _B_ONSET), ""):
             for rime in FINALS:
                 if rime in ("er",) and onset or rime == "ueng" and onset or rime == "ong" and not onset:
                     continue
@@ -83,9 +82,28 @@ def is_bopomofo(text: str) -> bool:
 
 
 # ---- Wade-Giles -----------------------------------------------------------------------
-_W_ONSET = _onsets("p p' m f t t' n l k k' h ch ch' hs ch ch' sh j ts ts' s")
-_W_RIME = _rimes("a o ê eh êrh ai ei ao ou an ên ang êng ung i ia ieh iao iu ien in iang ing iung u ua uo uai ui uan un uang uêng ü üeh üan ün io m n ng")
-_W_ALONE = _rimes("a o ê eh êrh ai ei ao ou an ên ang êng ung i ya yeh yao yu yen yin yang ying yung wu wa wo wai wei wan wên wang wêng yü yüeh yüan yün yo m n ng")
+#: Fixed values.
+_W_ONSET = {
+    "": "", "b": "p", "p": "p'", "m": "m", "f": "f", "d": "t", "t": "t'", "n": "n", "l": "l", "g": "k", "k": "k'",
+    "h": "h", "j": "ch", "q": "ch'", "x": "hs", "zh": "ch", "ch": "ch'", "sh": "sh", "r": "j", "z": "ts", "c": "ts'",
+    "s": "s",
+}
+#: Fixed values.
+_W_RIME = {
+    "a": "a", "o": "o", "e": "ê", "ê": "eh", "er": "êrh", "ai": "ai", "ei": "ei", "ao": "ao", "ou": "ou", "an": "an",
+    "en": "ên", "ang": "ang", "eng": "êng", "ong": "ung", "i": "i", "ia": "ia", "ie": "ieh", "iao": "iao",
+    "iou": "iu", "ian": "ien", "in": "in", "iang": "iang", "ing": "ing", "iong": "iung", "u": "u", "ua": "ua",
+    "uo": "uo", "uai": "uai", "uei": "ui", "uan": "uan", "uen": "un", "uang": "uang", "ueng": "uêng", "ü": "ü",
+    "üe": "üeh", "üan": "üan", "ün": "ün", "io": "io", "m": "m", "n": "n", "ng": "ng",
+}
+#: Fixed values.
+_W_ALONE = {
+    "a": "a", "o": "o", "e": "ê", "ê": "eh", "er": "êrh", "ai": "ai", "ei": "ei", "ao": "ao", "ou": "ou", "an": "an",
+    "en": "ên", "ang": "ang", "eng": "êng", "ong": "ung", "i": "i", "ia": "ya", "ie": "yeh", "iao": "yao",
+    "iou": "yu", "ian": "yen", "in": "yin", "iang": "yang", "ing": "ying", "iong": "yung", "u": "wu", "ua": "wa",
+    "uo": "wo", "uai": "wai", "uei": "wei", "uan": "wan", "uen": "wên", "uang": "wang", "ueng": "wêng", "ü": "yü",
+    "üe": "yüeh", "üan": "yüan", "ün": "yün", "io": "yo", "m": "m", "n": "n", "ng": "ng",
+}
 _W_VARIANTS = {"yi": "yi", "o": "e", "ch'uo": "chuo"}  # read, not written: spelling to pinyin
 _W_ER, _W_DROPPED = "-'rh", {"'": "", "ê": "e", "ŭ": "u", "ü": "u"}
 _W_LOOSE_ER = "-rh"
@@ -200,8 +218,20 @@ def read_wade_giles_word(text: str) -> list[Syllable] | None:
 
 
 # ---- Yale -----------------------------------------------------------------------------
-_Y_ONSET = _onsets("b p m f d t n l g k h j ch sy j ch sh r dz ts s")
-_Y_RIME = _rimes("a o e e er ai ei au ou an en ang eng ung i ya ye yau you yan in yang ing yung u wa wo wai wei wan wun wang weng yu ywe ywan yun yo m n ng")
+#: Fixed values.
+_Y_ONSET = {
+    "": "", "b": "b", "p": "p", "m": "m", "f": "f", "d": "d", "t": "t", "n": "n", "l": "l", "g": "g", "k": "k",
+    "h": "h", "j": "j", "q": "ch", "x": "sy", "zh": "j", "ch": "ch", "sh": "sh", "r": "r", "z": "dz", "c": "ts",
+    "s": "s",
+}
+#: Fixed values.
+_Y_RIME = {
+    "a": "a", "o": "o", "e": "e", "ê": "e", "er": "er", "ai": "ai", "ei": "ei", "ao": "au", "ou": "ou", "an": "an",
+    "en": "en", "ang": "ang", "eng": "eng", "ong": "ung", "i": "i", "ia": "ya", "ie": "ye", "iao": "yau",
+    "iou": "you", "ian": "yan", "in": "in", "iang": "yang", "ing": "ing", "iong": "yung", "u": "u", "ua": "wa",
+    "uo": "wo", "uai": "wai", "uei": "wei", "uan": "wan", "uen": "wun", "uang": "wang", "ueng": "weng", "ü": "yu",
+    "üe": "ywe", "üan": "ywan", "ün": "yun", "io": "yo", "m": "m", "n": "n", "ng": "ng",
+}
 _Y_ALONE = {"i": "yi", "in": "yin", "ing": "ying", "u": "wu", "uen": "wen"}
 
 
@@ -231,8 +261,20 @@ def yale(s: Syllable, tones: str = "marks") -> str:
 
 
 # ---- IPA ------------------------------------------------------------------------------
-_I_ONSET = _onsets("p pʰ m f t tʰ n l k kʰ x tɕ tɕʰ ɕ ʈʂ ʈʂʰ ʂ ʐ ts tsʰ s")
-_I_RIME = _rimes("a ɔ ɤ ɛ aɚ ai ei au ou an ən aŋ əŋ ʊŋ i ia ie iau iou iɛn in iaŋ iŋ iʊŋ u ua uo uai uei uan uən uaŋ uəŋ y ye yɛn yn iɔ m̩ n̩ ŋ̍")
+#: Fixed values.
+_I_ONSET = {
+    "": "", "b": "p", "p": "pʰ", "m": "m", "f": "f", "d": "t", "t": "tʰ", "n": "n", "l": "l", "g": "k", "k": "kʰ",
+    "h": "x", "j": "tɕ", "q": "tɕʰ", "x": "ɕ", "zh": "ʈʂ", "ch": "ʈʂʰ", "sh": "ʂ", "r": "ʐ", "z": "ts", "c": "tsʰ",
+    "s": "s",
+}
+#: Fixed values.
+_I_RIME = {
+    "a": "a", "o": "ɔ", "e": "ɤ", "ê": "ɛ", "er": "aɚ", "ai": "ai", "ei": "ei", "ao": "au", "ou": "ou", "an": "an",
+    "en": "ən", "ang": "aŋ", "eng": "əŋ", "ong": "ʊŋ", "i": "i", "ia": "ia", "ie": "ie", "iao": "iau", "iou": "iou",
+    "ian": "iɛn", "in": "in", "iang": "iaŋ", "ing": "iŋ", "iong": "iʊŋ", "u": "u", "ua": "ua", "uo": "uo",
+    "uai": "uai", "uei": "uei", "uan": "uan", "uen": "uən", "uang": "uaŋ", "ueng": "uəŋ", "ü": "y", "üe": "ye",
+    "üan": "yɛn", "ün": "yn", "io": "iɔ", "m": "m̩", "n": "n̩", "ng": "ŋ̍",
+}
 _I_LETTERS = {1: "˥", 2: "˧˥", 3: "˨˩˦", 4: "˥˩", NEUTRAL: ""}
 _I_NUMBERS = {1: "55", 2: "35", 3: "214", 4: "51", NEUTRAL: ""}
 
@@ -249,9 +291,28 @@ def ipa(s: Syllable, tones: str = "letters") -> str:
 
 
 # ---- Gwoyeu Romatzyh: the tone is in the spelling -------------------------------------
-_G_ONSET = _onsets("b p m f d t n l g k h j ch sh j ch sh r tz ts s")
-_G_RIME = _rimes("a o e è el ai ei au ou an en ang eng ong i ia ie iau iou ian in iang ing iong u ua uo uai uei uan uen uang ueng iu iue iuan iun io m n ng")
-_G_ER_RIME = _rimes("a o e è el a e au ou a e ang eng ong ie ia ie iau iou ia ie iang ieng iong u ua uo ua ue ua ue uang ueng iue iue iua iue io m n ng")
+#: Fixed values.
+_G_ONSET = {
+    "": "", "b": "b", "p": "p", "m": "m", "f": "f", "d": "d", "t": "t", "n": "n", "l": "l", "g": "g", "k": "k",
+    "h": "h", "j": "j", "q": "ch", "x": "sh", "zh": "j", "ch": "ch", "sh": "sh", "r": "r", "z": "tz", "c": "ts",
+    "s": "s",
+}
+#: Fixed values.
+_G_RIME = {
+    "a": "a", "o": "o", "e": "e", "ê": "è", "er": "el", "ai": "ai", "ei": "ei", "ao": "au", "ou": "ou", "an": "an",
+    "en": "en", "ang": "ang", "eng": "eng", "ong": "ong", "i": "i", "ia": "ia", "ie": "ie", "iao": "iau",
+    "iou": "iou", "ian": "ian", "in": "in", "iang": "iang", "ing": "ing", "iong": "iong", "u": "u", "ua": "ua",
+    "uo": "uo", "uai": "uai", "uei": "uei", "uan": "uan", "uen": "uen", "uang": "uang", "ueng": "ueng", "ü": "iu",
+    "üe": "iue", "üan": "iuan", "ün": "iun", "io": "io", "m": "m", "n": "n", "ng": "ng",
+}
+#: Fixed values.
+_G_ER_RIME = {
+    "a": "a", "o": "o", "e": "e", "ê": "è", "er": "el", "ai": "a", "ei": "e", "ao": "au", "ou": "ou", "an": "a",
+    "en": "e", "ang": "ang", "eng": "eng", "ong": "ong", "i": "ie", "ia": "ia", "ie": "ie", "iao": "iau",
+    "iou": "iou", "ian": "ia", "in": "ie", "iang": "iang", "ing": "ieng", "iong": "iong", "u": "u", "ua": "ua",
+    "uo": "uo", "uai": "ua", "uei": "ue", "uan": "ua", "uen": "ue", "uang": "uang", "ueng": "ueng", "ü": "iue",
+    "üe": "iue", "üan": "iua", "ün": "iue", "io": "io", "m": "m", "n": "n", "ng": "ng",
+}
 _G_APOSTROPHE = {"e": 3, "ie": 2, "üe": 2}  # before the suffix, up to this tone
 _VOWEL = re.compile("[aeiouyè]+")
 

@@ -30,15 +30,15 @@ ROWS = """
 海 - hǎi
 鸥 - ōu
 市 - shì
-银行 銀行 yín_háng . 7684
-行长 行長 háng_zhǎng . 419
-长大 - zhǎng_dà . 1498
-北京 - běi_jīng . 34488 ns p
-玩儿 玩兒 wánr . 220
-西安 - xī_ān . 2731 ns p
-海鸥 - hǎi_ōu . 233
-北京市 - běi_jīng_shì . 1806 ns p
-垃圾 - lā_jī lè_sè 1165
+银行 銀行 yín_háng . 5200
+行长 行長 háng_zhǎng . 380
+长大 - zhǎng_dà . 1300
+北京 - běi_jīng . 30000 ns p
+玩儿 玩兒 wánr . 260
+西安 - xī_ān . 2400 ns p
+海鸥 - hǎi_ōu . 210
+北京市 - běi_jīng_shì . 1700 ns p
+垃圾 - lā_jī lè_sè 1250
 """
 
 

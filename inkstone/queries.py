@@ -415,7 +415,7 @@ CEDICT = """# a comment
 囗囗 囗囗 [xx5 xx5] /unknown/
 垃圾桶 垃圾桶 [la1 ji1 tong3] /bin/
 """
-FREQUENCIES = "银行 7684 n\n北京 34488 ns\n大夫 900 n\n垃圾 1165 n\n毛泽东 2000 nr\n垃圾 1166 n\nbad x n\n"
+FREQUENCIES = "银行 5200 n\n北京 30000 ns\n大夫 900 n\n垃圾 1200 n\n毛泽东 2000 nr\n垃圾 1250 n\nbad x n\n"
 PHRASES = "银行: yín háng # note\n头发: tóu fà\n玩儿: wán ér\nabc: a b c\n"
 UNIHAN = "U+94F6\tkMandarin\tyín\nU+884C\tkHanyuPinlu\txíng(100) háng(200)\nU+884C\tkMandarin\txíng\nU+53D1\tkMandarin\tfā\nU+5783\tkMandarin\tlā lè\nU+5934\tkMandarin\ttóu\nU+6876\tkMandarin\ttǒng\n"
 VARIANTS = "U+5934\tkTraditionalVariant\tU+982D\nU+94F6\tkTraditionalVariant\tU+9280\n"

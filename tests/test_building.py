@@ -19,7 +19,7 @@ def test_merged_fixture(spark):
     merged = queries.merged_fixture(spark)
     found = {r.hans: r for r in merged.where("hant is not null").collect()}
     text = lambda w: " ".join(found[w].reading)
-    assert text("银行") == "yin2 hang2" and found["银行"].hant == "銀行" and found["银行"].frequency == 7684
+    assert text("银行") == "yin2 hang2" and found["银行"].hant == "銀行" and found["银行"].frequency == 5200
     assert text("大夫") == "dai4 fu5" and text("玩儿") == "wanr2" and found["头发"].hant == "頭髮"
     assert found["垃圾"].taiwan == ["le4", "se4"] and found["垃圾"].frequency == 1166
     assert found["北京"].proper and found["毛泽东"].boundaries == [1] and found["毛泽东"].pos == "nr"
