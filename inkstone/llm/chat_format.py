@@ -9,7 +9,9 @@ escaped, one level more each time, until it does. An escape puts a backslash int
 round-trip: once every such sequence is escaped no control string is left in a text. A
 role is escaped alike, and its line feeds and backslashes as ``\\n`` and ``\\\\``.
 
-The loss mask covers the assistant's texts, without their end marks.
+The loss mask is a span of the rendered turn: where its parsed text stands, without the end
+mark, if the parsed role is the assistant's. Loss text is read through the mask, from the
+rendered text, and unescaped.
 
 A conversation is one stream of rows sorted by turn (nulls first, ties by role and text):
 rendering, parsing and digests are incremental, so a task holds one turn at a time, however
@@ -106,6 +108,13 @@ def rendered(role: str, text: str) -> str:
     raise ValueError("no escape level round-trips")  # not reached: the last level always does
 
 
+def mask(out: str) -> tuple[int, int] | None:
+    """The span of a rendered turn that is learnt, or None."""
+    ((role, _, raw),) = parsed(out)
+    start = out.index("\n") + 1  # a rendered role holds none
+    return (start, start + len(raw)) if role == "assistant" else None
+
+
 class _Conversation:
     """Digests of one conversation, as read back from its rendered stream."""
 
@@ -120,9 +129,10 @@ class _Conversation:
         for back_role, back_text, _ in self.parser.feed(out):
             self.n += 1
             self.turns.update(f"{back_role}\n{back_text}\n".encode())
-            if back_role == "assistant":
-                self.loss += len(back_text)
-                self.learnt.update(back_text.encode())
+        if (span := mask(out)) is not None:
+            learnt = unescape(out[span[0] : span[1]])
+            self.loss += len(learnt)
+            self.learnt.update(learnt.encode())
 
     def row(self) -> tuple:
         self.parser.close()
@@ -153,7 +163,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [rendered(r, t) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role", "text")), pa.array(out, pa.string())], ["conv_id", "turn", "role", "text", "formatted"])
+        spans = [mask(x) or (None, None) for x in out]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role", "text")), pa.array(out, pa.string()), pa.array([a for a, _ in spans], pa.int32()), pa.array([b for _, b in spans], pa.int32())], ["conv_id", "turn", "role", "text", "formatted", "loss_start", "loss_end"])
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
@@ -161,8 +172,8 @@ def _turns(conversations: DataFrame) -> DataFrame:
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text and ``formatted``, the rendered turn; a conversation is their concatenation by turn."""
-    return _turns(conversations).mapInArrow(_texts, "conv_id bigint, turn bigint, role string, text string, formatted string")
+    """conv_id, turn, role, text, ``formatted``, the rendered turn, and the span of it that is learnt (nulls: none); a conversation is their concatenation by turn."""
+    return _turns(conversations).mapInArrow(_texts, "conv_id bigint, turn bigint, role string, text string, formatted string, loss_start int, loss_end int")
 
 
 def digests(conversations: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 *Kernel.* Two strings are alike by the subsequences of three symbols they share, each
 occurrence weighted by DECAY for every symbol it skips (at most two in either place), over
-``^string$`` and divided by the strings' norms. Skips are what tolerates gapped and
+``^string$`` and divided by the strings' lengths as vectors, reckoned as if no subsequence
+occurred twice in a string (so a norm depends on the number of symbols only, and scoring
+folds). Skips are what tolerates gapped and
 inserted-character insults: doubled and, in longer words, foreign letters. Marks inside a
 word are dropped and runs of single letters are read as one string, so ``s.t-upid`` and
 ``s t u p i d`` are whole again. A foreign letter inside a short word can still hide it.

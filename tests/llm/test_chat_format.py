@@ -81,3 +81,20 @@ def test_the_control_conversation(spark):
 def test_formatted_rows(spark):
     out = c.formatted(table(spark, rows(), schema=SCHEMA)).where("conv_id = 1").orderBy("turn").collect()
     assert [(r, t) for r, t, _ in c.parsed("".join(x.formatted for x in out))] == [("user", "hi"), ("assistant", "hello"), ("system", ""), ("assistant", "")]
+
+
+@given(st.sampled_from(["assistant", "user", "assistant\n", "<|assistant"]), pieces)
+def test_the_mask_covers_the_learnt_text_in_the_rendered_turn(role, text):
+    out = c.rendered(role, text)
+    span = c.mask(out)
+    assert (span is None) == (role != "assistant")
+    if span is not None:
+        assert c.unescape(out[slice(*span)]) == text
+        assert out[: span[0]] == "<|im_start|>assistant\n" and out[span[1] :] == "<|im_end|>\n"
+
+
+def test_formatted_turns_have_their_masks(spark):
+    for r in c.formatted(table(spark, rows(), schema=SCHEMA)).collect():
+        assert (r.loss_start is None) == (r.role != "assistant")
+        if r.loss_start is not None:
+            assert c.unescape(r.formatted[r.loss_start : r.loss_end]) == r.text

@@ -113,6 +113,28 @@ def test_kernel_rows_are_the_kernel():
     assert rows[0, 0] > rows[1, 0] > rows[2, 0]
 
 
+def test_folded_scores_are_the_kernel_machine():
+    """A document's score from the folded table against sums of kernels with landmarks, word by word."""
+    t, r = toxicity_kernel, np.random.default_rng(6)
+    marks = [coded(w) for w in ("grumblor", "snivelet", "plain", "words", "wretchok")]
+    alpha, bias, logistic = r.standard_normal(len(marks)), -0.4, np.array([2.0, 0.7, -0.3])
+    kernel = t.Kernel(*t._joined(marks))
+    model = t.Toxicity(0.2)
+    model.table = np.zeros(t._CELLS)
+    model.table[kernel.cells] = kernel.vectors[:-1] @ alpha
+    model.bias, model.logistic = bias, logistic
+    texts = ["a plain grumbl-or met snivvelet", "wretched words, words", "", "%%%", "x", "so s n i v e l e t said", "plain " * 40]
+    for text in texts:
+        strings = [coded(w) for w in text.split()]
+        if "s n i v" in text:
+            strings.append(coded("snivelet"))
+        own = sorted((sum(a * kernel_value(w, m) for a, m in zip(alpha, marks, strict=True)) + bias if len(w) > 3 else -1.0 for w in strings), reverse=True)
+        two = np.maximum((own + [-1.0, -1.0])[:2], -1.0)
+        buf = np.frombuffer(text.encode(), np.uint8)
+        got = model.score(Block(0, buf, np.array([0, len(buf)])))[0]
+        assert got == pytest.approx(1 / (1 + np.exp(-(np.r_[two, 1.0] @ logistic))), abs=1e-4), text
+
+
 def test_marks_and_spelled_out_words():
     assert coded("S.n-i*v.elet!!") == coded("snivelet")
     text = "so s n i v e l e t he said"
@@ -155,5 +177,44 @@ def test_votes_are_exact_cosines():
         assert model.score(x[:5])[k] == pytest.approx(float(w[model.ones].sum() / w.sum()), abs=1e-4)
 
 
+def test_scores_are_votes_in_the_latent_space_of_naive_terms():
+    """Terms counted one by one, singular vectors of the whole matrix, cosines and votes in plain loops."""
+    q = quality_votes
+    docs, labels = labelled(60)
+    block = lambda text: Block(0, np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+
+    def naive(text):
+        out, raw = np.zeros(q.TERMS), text.encode()
+        for a, b in zip(raw, raw[1:], strict=False):
+            out[int(q._CLASS[a]) * q._CLASSES + int(q._CLASS[b])] += 1 / (len(raw) - 1)
+        out[: q.PAIRS] = np.sqrt(out[: q.PAIRS])
+        words = text.split()
+        triples = list(zip(words, words[1:], words[2:], strict=False))
+        seen = [np.mean([a == b for a, b in zip(words, words[1:], strict=False)]), 1 - len(set(triples)) / len(triples), (1 - len(set(words)) / len(words)) ** 2]
+        out[q.PAIRS : q.PAIRS + 3] = q._REPEAT_WEIGHT * np.sqrt(seen)
+        slots = [int(q.word_slots(block(w))[1][0]) for w in words if any(c.isalnum() for c in w)]
+        for s in set(slots):
+            out[q.PAIRS + 3 + s] = q._WORD_WEIGHT * np.sqrt(slots.count(s) / len(slots))
+        return out
+
+    x = np.array([naive(t) for _, t in docs])
+    assert np.allclose(x, np.concatenate([q.terms(block(t)) for _, t in docs]), atol=1e-6)
+    y, share = np.array([g for _, g, _ in labels]), 0.6
+    train, test = x[:40], x[40:]
+    weight = np.log1p(40 / (1 + (train > 0).sum(axis=0)))
+    mean = (train * weight).mean(axis=0)
+    axes = np.linalg.svd(train * weight - mean, full_matrices=False)[2][: q.RANK].T
+    latent = lambda rows: (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))((rows * weight - mean) @ axes)
+    held, asked = latent(train), latent(test)
+    want = []
+    for a in asked:
+        votes = [0.0, 0.0]
+        for b, label in zip(held, y[:40], strict=True):
+            votes[label] += np.exp(q.SHARPNESS * (float(a @ b) - 1)) * (share if label else 1 - share) / (y[:40] == label).sum()
+        want.append(votes[1] / sum(votes))
+    got = q.Votes(train.astype(np.float32), y[:40], share).score(test.astype(np.float32))
+    assert np.allclose(got, want, atol=2e-2)
+
+
 def test_helpers_table(spark):
     assert table(spark, [(1, "x")]).count() == 1
