@@ -35,7 +35,7 @@ from .shared import components, cut
 from .textblocks import Block, blocks, longs, mix
 
 COORDINATES, MISS, SHINGLE = 32, 1e-7, 5
-PART = 256
+PART, PARTITION_POSTINGS = 256, 1_000_000
 HUBS = 8
 U = np.uint64
 _SEEDS = np.random.Generator(np.random.PCG64(97)).integers(1, 2**63, COORDINATES, dtype=np.uint64) * U(2) + U(1)
@@ -245,6 +245,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = sketches.where("n_shingles > 0").groupBy("shingles").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     classes = cut(classes)
 
+    n = max(n, -(-classes.count() * (COORDINATES - matches + 1) // PARTITION_POSTINGS))  # a task holds its partition's postings
     posted = classes.select("rep", "signature").mapInArrow(_postings(COORDINATES - matches + 1, n), "bucket int, keys binary, reps binary, signatures binary")
     candidates = posted.repartitionById(n, "bucket").mapInArrow(_merged(matches), "a bigint, b bigint")
     units = components(candidates).select(F.col("node").alias("doc_id"), F.col("component").alias("unit"))
