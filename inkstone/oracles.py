@@ -10,8 +10,9 @@ from __future__ import annotations
 from . import source_queries
 from .functions.columns import syllable_rows
 from .functions.glyphs import CANONICAL, HONG_KONG
-from .functions.phonology import INVENTORY, parse
-from .functions.romanise import wade_giles_spelling
+from .functions.orthography import capital
+from .functions.phonology import INVENTORY, parse, spelling
+from .functions.romanise import wade_giles_spelling, word
 from .operators.dictionary import numbers
 from .plans import sample
 from .queries import GLYPHS, SANDHI_TOKENS, WORDS
@@ -76,6 +77,37 @@ _EDGES = f"""(SELECT run_id, "at" AS "start", "at" + size AS "end", reading, syl
 FROM (SELECT run_id, text, unnest(range(length(text))) AS "at" FROM {_RUNS}) r JOIN {_dictionary()} ON substr(r.text, CAST(r."at" + 1 AS INT), d.size) = d.key)"""
 _UNITS = f"""(SELECT run_id, ord, "start" + k AS "start", "start" + k + 1 AS "end", string_split(reading, ' ')[k + 1] AS reading, "start" AS e_start, "end" AS e_end, cost FROM (SELECT *, unnest(range(size)) AS k FROM {_EDGES} WHERE syllables = size)
 UNION ALL SELECT run_id, ord, "start", "end", reading, "start", "end", cost FROM {_EDGES} WHERE syllables <> size)"""
+
+
+def _written(system: str) -> list[tuple]:
+    """Each word of the sample dictionary in a system, with what sandhi asks of its neighbours: (word, written, first spelling, first tone, last spelling, whether it is hyphened when said twice)."""
+    out = []
+    for e in sample.dictionary().entries.values():
+        # a place name's generic is a word of its own
+        parts = [e.reading[:2], e.reading[2:]] if e.key == "北京市" else [e.reading]
+        said = " ".join(capital(word(system, r)) if e.proper else word(system, r) for r in parts)
+        out.append((e.key, said, spelling(e.reading[0]), e.reading[0].tone, spelling(e.reading[-1]), len(e.key) == 2 and not e.proper))
+    return out
+
+
+def _converted(words: str, system: str, name: str, joined: str = "") -> str:
+    """Every order's text in a system, from (run_id, start, word); the text ends in a number, a measure word and a full stop."""
+    one = lambda text: _text(word(system, (parse(text),)))
+    powers = "('shi', 'bai', 'qian', 'wan')"
+    counts = f"coalesce(b, '') <> 'di' AND (coalesce(b, '') NOT IN {powers} OR coalesce(f, '') IN ('shi', 'bai', 'qian', 'wan', 'ling'))"
+    said = f"CASE WHEN word = '一' AND {counts} AND t = 4 THEN {one('yí')} WHEN word = '一' AND {counts} AND t < 4 THEN {one('yì')} WHEN word = '不' AND t = 4 THEN {one('bú')} ELSE written END"
+    tail = f"{word(system, (parse('liǎng'),))} {word(system, (parse('gè'),))}."
+    return f"""WITH {joined} w AS (SELECT run_id, "start", word, written, lag(z) OVER o AS b, lead(a) OVER o AS f, lead(t) OVER o AS t, CASE WHEN twice AND lag(word) OVER o = word THEN '-' ELSE ' ' END AS joint FROM ({words}) JOIN {_values(_written(system), 'v(key, written, a, t, z, twice)')} ON key = word WINDOW o AS (PARTITION BY run_id ORDER BY "start")),
+d AS (SELECT run_id, ltrim(string_agg(joint || {said}, '' ORDER BY "start")) AS said FROM w GROUP BY 1)
+SELECT o_orderkey, text || '2个。' AS text, upper(substr(said, 1, 1)) || substr(said, 2) || ' {tail}' AS {name} FROM {_TEXTS} JOIN d ON run_id = text"""
+
+
+_GREEDY = f"""best AS (SELECT run_id, "start", max(size) AS size FROM {_EDGES} GROUP BY 1, 2), walk AS (SELECT run_id, "start", size FROM best WHERE "start" = 0 UNION ALL SELECT b.run_id, b."start", b.size FROM walk w JOIN best b ON b.run_id = w.run_id AND b."start" = w."start" + w.size),"""
+_CHEAPEST = f"""e AS MATERIALIZED (SELECT run_id, "start", "end", min(cost) AS cost FROM {_EDGES} GROUP BY 1, 2, 3),
+walk(run_id, place, total, cuts) AS (SELECT DISTINCT run_id, CAST(0 AS BIGINT), CAST(0 AS DOUBLE), [CAST(0 AS BIGINT)] FROM e UNION ALL SELECT w.run_id, e."end", w.total + e.cost, list_append(w.cuts, e."end") FROM walk w JOIN e ON e.run_id = w.run_id AND e."start" = w.place),
+path AS (SELECT run_id, arg_min(cuts, total) AS cuts FROM walk WHERE place = length(run_id) GROUP BY 1),"""
+_GREEDY_WORDS = """SELECT run_id, "start", substr(run_id, CAST("start" + 1 AS INT), CAST(size AS INT)) AS word FROM walk"""
+_CHEAPEST_WORDS = """SELECT run_id, cuts[k] AS "start", substr(run_id, CAST(cuts[k] + 1 AS INT), CAST(cuts[k + 1] - cuts[k] AS INT)) AS word FROM (SELECT run_id, cuts, unnest(range(1, len(cuts))) AS k FROM path)"""
 _SYLLABLES = f"(SELECT o_orderkey, {_pick(INVENTORY, 'o_orderkey')} AS spelling, CAST((o_orderkey // 424) % 5 + 1 AS INT) AS tone FROM orders)"
 
 
@@ -166,5 +198,8 @@ SELECT split_part(p_name, ' ', -1) AS key, 0 AS alias, p_partkey AS frequency, s
         sql[f"to_{system}"] = f"SELECT {system} AS written, count(*) AS n FROM {_joined(system)} GROUP BY 1"
     claims = f"""SELECT run_id, "at", count(DISTINCT ("start", "end", reading)) AS claims, min("start") AS s, max("end") AS e FROM (SELECT *, unnest(range("start", "end")) AS "at" FROM {_UNITS}) GROUP BY 1, 2"""
     sql |= source_queries.oracle_sql()
+    sql["convert_greedy"] = _converted(_GREEDY_WORDS, "pinyin", "pinyin", f"RECURSIVE {_GREEDY}")
+    for name, system, column in (("convert", "pinyin", "pinyin"), ("convert_wade_giles", "wade_giles", "wade_giles"), ("convert_bopomofo", "bopomofo", "bopomofo")):
+        sql[name] = _converted(_CHEAPEST_WORDS, system, column, f"RECURSIVE {_CHEAPEST}")
     sql["reading_locks"] = f"WITH c AS MATERIALIZED ({claims}) " + sql["reading_locks"]
     return sql
