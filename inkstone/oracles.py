@@ -79,25 +79,27 @@ _UNITS = f"""(SELECT run_id, ord, "start" + k AS "start", "start" + k + 1 AS "en
 UNION ALL SELECT run_id, ord, "start", "end", reading, "start", "end", cost FROM {_EDGES} WHERE syllables <> size)"""
 
 
-def _written(system: str) -> list[tuple]:
-    """Each word of the sample dictionary in a system, with what sandhi asks of its neighbours: (word, written, first spelling, first tone, last spelling, whether it is hyphened when said twice)."""
+def _written(system: str, taiwan: bool) -> list[tuple]:
+    """Each word of the sample dictionary in a system, with what sandhi asks of its neighbours: (word, written, written with a second tone where it is a lone third one, first spelling, first tone, last spelling, whether it is hyphened when said twice)."""
     out = []
     for e in sample.dictionary().entries.values():
+        own = e.taiwan or e.reading if taiwan else e.reading
         # a place name's generic is a word of its own
-        parts = [e.reading[:2], e.reading[2:]] if e.key == "北京市" else [e.reading]
+        parts = [own[:2], own[2:]] if e.key == "北京市" else [own]
         said = " ".join(capital(word(system, r)) if e.proper else word(system, r) for r in parts)
-        out.append((e.key, said, spelling(e.reading[0]), e.reading[0].tone, spelling(e.reading[-1]), len(e.key) == 2 and not e.proper))
+        lone = word(system, (own[0].toned(2),)) if len(own) == 1 and own[0].tone == 3 else said
+        out.append((e.key, said, lone, spelling(own[0]), own[0].tone, spelling(own[-1]), len(e.key) == 2 and not e.proper))
     return out
 
 
-def _converted(words: str, system: str, name: str, joined: str = "") -> str:
+def _converted(words: str, system: str, name: str, joined: str = "", taiwan: bool = False) -> str:
     """Every order's text in a system, from (run_id, start, word); the text ends in a number, a measure word and a full stop."""
     one = lambda text: _text(word(system, (parse(text),)))
     powers = "('shi', 'bai', 'qian', 'wan')"
     counts = f"coalesce(b, '') <> 'di' AND (coalesce(b, '') NOT IN {powers} OR coalesce(f, '') IN ('shi', 'bai', 'qian', 'wan', 'ling'))"
-    said = f"CASE WHEN word = '一' AND {counts} AND t = 4 THEN {one('yí')} WHEN word = '一' AND {counts} AND t < 4 THEN {one('yì')} WHEN word = '不' AND t = 4 THEN {one('bú')} ELSE written END"
+    said = f"CASE WHEN word = '一' AND {counts} AND t = 4 THEN {one('yí')} WHEN word = '一' AND {counts} AND t < 4 THEN {one('yì')} WHEN word = '不' AND t = 4 THEN {one('bú')} {"WHEN t = 3 THEN lone" if taiwan else ""} ELSE written END"
     tail = f"{word(system, (parse('liǎng'),))} {word(system, (parse('gè'),))}."
-    return f"""WITH {joined} w AS (SELECT run_id, "start", word, written, lag(z) OVER o AS b, lead(a) OVER o AS f, lead(t) OVER o AS t, CASE WHEN twice AND lag(word) OVER o = word THEN '-' ELSE ' ' END AS joint FROM ({words}) JOIN {_values(_written(system), 'v(key, written, a, t, z, twice)')} ON key = word WINDOW o AS (PARTITION BY run_id ORDER BY "start")),
+    return f"""WITH {joined} w AS (SELECT run_id, "start", word, written, lone, lag(z) OVER o AS b, lead(a) OVER o AS f, lead(t) OVER o AS t, CASE WHEN twice AND lag(word) OVER o = word THEN '-' ELSE ' ' END AS joint FROM ({words}) JOIN {_values(_written(system, taiwan), 'v(key, written, lone, a, t, z, twice)')} ON key = word WINDOW o AS (PARTITION BY run_id ORDER BY "start")),
 d AS (SELECT run_id, ltrim(string_agg(joint || {said}, '' ORDER BY "start")) AS said FROM w GROUP BY 1)
 SELECT o_orderkey, text || '2个。' AS text, upper(substr(said, 1, 1)) || substr(said, 2) || ' {tail}' AS {name} FROM {_TEXTS} JOIN d ON run_id = text"""
 
@@ -199,6 +201,13 @@ SELECT split_part(p_name, ' ', -1) AS key, 0 AS alias, p_partkey AS frequency, s
     claims = f"""SELECT run_id, "at", count(DISTINCT ("start", "end", reading)) AS claims, min("start") AS s, max("end") AS e FROM (SELECT *, unnest(range("start", "end")) AS "at" FROM {_UNITS}) GROUP BY 1, 2"""
     sql |= source_queries.oracle_sql()
     sql["convert_greedy"] = _converted(_GREEDY_WORDS, "pinyin", "pinyin", f"RECURSIVE {_GREEDY}")
+    sql["convert_taiwan"] = _converted(_CHEAPEST_WORDS, "pinyin", "pinyin", f"RECURSIVE {_CHEAPEST}", taiwan=True)
+    other = [(r["hans"], r["hant"]) for r in sample.rows() if r["hans"] != r["hant"]] + [("银", "銀")]  # what all words agree on goes for the character alone
+    sql["script_to_hant"] = f"""WITH RECURSIVE {_CHEAPEST} d AS (SELECT run_id, string_agg(coalesce(hant, word), '' ORDER BY "start") AS hant FROM ({_CHEAPEST_WORDS}) LEFT JOIN {_values(other, 'v(key, hant)')} ON key = word GROUP BY 1)
+SELECT o_orderkey, text || '2个。' AS text, hant || '2个。' AS hant FROM {_TEXTS} JOIN d ON run_id = text"""
+    # neutral syllables have no mark, so they are read without a tone; the suffix may be meant as well
+    read = _values([(r[0], r[1], r[0] if r[1] == 5 else r[6], r[11], r[2], k) for k, r in enumerate(syllable_rows()) if r[1] is not None and not (r[1] == 5 and r[2])], "r(spelling, tone, read, yale, suffixed, place)")
+    sql["read_candidates"] = f"""WITH r AS (SELECT * FROM {read}) SELECT yale, string_agg(read, ' ' ORDER BY suffixed, place) AS candidates FROM r WHERE yale IN (SELECT yale FROM {_SYLLABLES} s JOIN r USING (spelling, tone) WHERE NOT suffixed) GROUP BY 1"""
     for name, system, column in (("convert", "pinyin", "pinyin"), ("convert_wade_giles", "wade_giles", "wade_giles"), ("convert_bopomofo", "bopomofo", "bopomofo")):
         sql[name] = _converted(_CHEAPEST_WORDS, system, column, f"RECURSIVE {_CHEAPEST}")
     sql["reading_locks"] = f"WITH c AS MATERIALIZED ({claims}) " + sql["reading_locks"]
