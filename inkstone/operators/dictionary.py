@@ -14,6 +14,7 @@ from ..functions.glyphs import canonical_column
 from ..functions.phonology import parse, write
 from ..plans import sample
 from ..plans.decoder import BUCKETS, WORD_CHARGE, Dictionary, Entry
+from ..sources import parsers
 
 DICTIONARY_DDL = "key string, reading array<string>, taiwan array<string>, pos string, proper boolean, boundaries array<int>, bucket int, alternates array<string>"
 ENTRY_DDL = "hans string, hant string, variants array<string>, reading array<string>, taiwan array<string>, frequency bigint, pos string, proper boolean, boundaries array<int>, alternates array<string>"
@@ -113,6 +114,32 @@ def stored_lines(entries: DataFrame) -> DataFrame:
     return rows.select("key", F.regexp_replace(columns, "\t+$", "").alias("line"), "bucket")
 
 
+def packed(buckets: Column) -> Column:
+    """An array of buckets in bytes, two a byte, the first in the high half."""
+    digits = F.array_join(F.transform(buckets, lambda b: F.hex(b.cast("bigint"))), "")
+    return F.unhex(F.when(F.size(buckets) % 2 == 1, F.concat(digits, F.lit("0"))).otherwise(digits))
+
+
+def write_stored(entries: DataFrame, folder: str, tier_name: str) -> None:
+    """The three files of a tier: keys, lines and packed buckets, in the order of the keys' UTF-16 units.
+
+    A dictionary is a bounded reference table, so its files are one each and written by the driver.
+    """
+    spark = entries.sparkSession
+    rows = stored_lines(entries).select(F.struct(F.encode("key", "UTF-16BE").alias("order"), "key", "line", "bucket").alias("r"))
+    whole = rows.agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    column = lambda name: F.transform("rows", lambda r: r[name])
+    text = lambda name: F.encode(F.concat(F.array_join(column(name), "\n"), F.lit("\n")), "UTF-8")
+    parts = whole.select(text("key").alias("keys"), text("line").alias("entries"), packed(column("bucket")).alias("frequencies")).first()
+    for part, name in parsers.tier_files(tier_name).items():
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+        try:
+            out.write(bytearray(parts[part]))
+        finally:
+            out.close()
+
+
 def from_stored(lines: DataFrame) -> DataFrame:
     """A dictionary from stored lines (key, line, optional bucket); derived readings are rebuilt from characters."""
     cells = F.split("line", "\t", -1)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns, romanise
 from .functions.phonology import INVENTORY
+from .operators import dictionary as dictionaries
 from .operators import metrics
 from .sources import parsers
 
@@ -117,6 +118,15 @@ def parse_conversions(spark, sf_dir):
     return found.groupBy("tag", "source", "to", F.array_join(entries, ",").alias("readings"), F.array_join("also", " ").alias("also")).agg(F.count("*").alias("n"))
 
 
+@_query
+def frequency_blob(spark, sf_dir):
+    """Buckets of customers' balances, packed by market segment and read back."""
+    rows = dictionaries.frequency_buckets(_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.floor("c_acctbal").alias("frequency")))
+    own = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "bucket"))), lambda r: r["bucket"])
+    blobs = rows.groupBy("c_mktsegment").agg(dictionaries.packed(own).alias("blob"))
+    return blobs.select("c_mktsegment", F.length("blob").alias("bytes"), F.array_join(parsers.packed_buckets(F.col("blob")).cast("array<string>"), " ").alias("buckets"))
+
+
 # ---- written words --------------------------------------------------------------------
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two syllables a row, in marks: the tones of the first go through 1 to 4."""
@@ -220,6 +230,8 @@ def oracle_sql() -> dict[str, str]:
         "parse_unihan_variants": f"SELECT character, kind, string_agg(v, '' ORDER BY ord) AS variants FROM ({variant}) GROUP BY 1, 2",
         "parse_opencc": _last(f"SELECT {k} AS ord, {_at(CHARACTERS, k)} AS character, {_at(HANT, k)} || CASE WHEN {k} % 2 = 0 THEN '' ELSE ' ' || {_at(HANS, k)} END AS forms, {_at(HANT, k)} AS form FROM orders WHERE {k} % 7 <> 0", "character", "forms", "form"),
         "parse_conversions": f"""SELECT {_at(CONVERSIONS, k)} AS tag, {_at(HANS, k)} AS source, {_at(HANT, k)} AS "to", CASE WHEN {k} % 2 = 0 THEN {_syllable(k)} || '=一' ELSE '' END AS readings, CASE WHEN {k} % 3 = 0 THEN '長 兒' ELSE '' END AS also, count(*) AS n FROM orders WHERE {k} % 9 <> 0 AND {k} % 7 <> 6 GROUP BY 1, 2, 3, 4, 5""",
+        "frequency_blob": """SELECT c_mktsegment, CAST((count(*) + 1) // 2 AS INT) AS bytes, string_agg(bucket, ' ' ORDER BY c_custkey) || CASE WHEN count(*) % 2 = 1 THEN ' 0' ELSE '' END AS buckets FROM (
+SELECT c_custkey, c_mktsegment, CAST(CAST(least(15, floor(ln(1 + greatest(floor(c_acctbal), 0)) * (15 / ln(1 + (SELECT max(floor(c_acctbal)) FROM customer))) + 0.5)) AS INT) AS VARCHAR) AS bucket FROM customer) GROUP BY 1""",
         "split_words": f"SELECT {k}, x.marks || ' ' || y.marks AS syllables {both('marks')}",
         "words_in_systems": f"SELECT {k}, " + ", ".join(f"x.{s} || '{joints[s]}' || y.{s} AS {s}" for s in SYSTEMS) + f" {both(*SYSTEMS)}",
         "syllable_notations": f"SELECT {k}, initial, final, CAST(tone AS INT) AS tone FROM (SELECT {k}, {_syllable(k)} AS spelling, ({k} // 424) % 5 + 1 AS tone FROM orders) JOIN {_sounds('initial', 'final')} USING (spelling, tone)",

@@ -148,13 +148,32 @@ def opencc_default(table: DataFrame) -> DataFrame:
     return table.select("character", F.get("forms", F.lit(0)).alias("form"))
 
 
-def stored_dictionary(spark: SparkSession, keys: str, entries: str) -> DataFrame:
-    """(key, line) of two parallel files, matched by line number."""
+def tier_files(tier: str) -> dict[str, str]:
+    """The names of a stored tier's three files."""
+    return {part: f"{tier}.{end}" for part, end in (("keys", "keys"), ("entries", "entries"), ("frequencies", "freq"))}
+
+
+def packed_buckets(content: Column) -> Column:
+    """The buckets of packed bytes, two a byte, the first in the high half; an odd number leaves a last 0."""
+    return F.transform(F.filter(F.split(F.hex(content), ""), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("int"))
+
+
+def stored_dictionary(spark: SparkSession, keys: str, entries: str, frequencies: str | None = None) -> DataFrame:
+    """(key, line), and with frequencies bucket, of parallel files, matched by line number; a key beyond the frequencies has bucket 0."""
 
     def numbered(path: str, name: str) -> DataFrame:
-        return spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("at", name))
+        return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("at", name))
+
+    lines = numbered(keys, "key").join(numbered(entries, "line"), "at")
+    if frequencies is None:
+        return lines.select("key", "line")
+    packed = spark.read.format("binaryFile").load(frequencies).select(F.posexplode(packed_buckets(F.col("content"))).alias("at", "bucket"))
+    return lines.join(packed, "at", "left").select("key", "line", F.coalesce("bucket", F.lit(0)).alias("bucket"))
+
 
-    return numbered(keys, "key").join(numbered(entries, "line"), "at").select("key", "line")
+def stored_tier(spark: SparkSession, folder: str, tier: str) -> DataFrame:
+    """(key, line, bucket) of a tier's files in a folder."""
+    return stored_dictionary(spark, *(f"{folder}/{name}" for name in tier_files(tier).values()))
 
 
 def conversion_lines(source: DataFrame) -> DataFrame:

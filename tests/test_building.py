@@ -123,3 +123,16 @@ def test_metrics(spark):
     assert row.exact == pytest.approx(200 / 3) and row.readings == 75.0 and row.bases == 75.0 and row.tones == 100.0
     assert metrics.report(metrics.scored(df.where("false"), "e", "a")).count() == 1
     assert F is not None
+
+
+def test_a_tier_is_written_and_loaded(spark, tmp_path):
+    entries = d.sample_entries(spark)
+    d.write_stored(entries, str(tmp_path), "core")
+    lines = s.stored_tier(spark, str(tmp_path), "core")
+    want = d.dictionary_frame(entries)
+    columns = ["key", "reading", "taiwan", "proper", "bucket", "alternates", "cost"]
+    assert sorted(map(repr, d.from_stored(lines).select(columns).collect())) == sorted(map(repr, want.select(columns).collect()))
+    assert s.tier_files("full") == {"keys": "full.keys", "entries": "full.entries", "frequencies": "full.freq"}
+    keys = (tmp_path / "core.keys").read_text().split("\n")[:-1]
+    assert keys == sorted(keys, key=lambda k: k.encode("utf-16-be"))
+    assert len((tmp_path / "core.freq").read_bytes()) == (len(keys) + 1) // 2
