@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import components, cut
+from .shared import components, cut, of_groups
 from .textblocks import Block, blocks, longs, mix
 
 COORDINATES, MISS, SHINGLE = 32, 1e-7, 5
@@ -249,8 +249,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     posted = classes.select("rep", "signature").mapInArrow(_postings(COORDINATES - matches + 1, n), "bucket int, keys binary, reps binary, signatures binary")
     candidates = posted.repartitionById(n, "bucket").mapInArrow(_merged(matches), "a bigint, b bigint")
     units = components(candidates).select(F.col("node").alias("doc_id"), F.col("component").alias("unit"))
-    sizes = units.groupBy("unit").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    wanted = cut(units.join(sizes, "unit").join(classes.select(F.col("rep").alias("doc_id"), "shingles"), "doc_id"))
+    sizes = units.groupBy("unit").agg(F.count("*").alias("size"), F.ceil(F.count("*") / PART).alias("parts"))
+    wanted = cut(of_groups(units, cut(sizes), "unit").join(classes.select(F.col("rep").alias("doc_id"), "shingles"), "doc_id"))
     members = cut(docs.join(wanted, "doc_id").mapInArrow(_full_sets, "rep bigint, unit bigint, parts bigint, members binary"))
 
     large = members.where("parts > 1")
@@ -261,8 +261,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     found = components(links)
     if not large.isEmpty():  # what no hub has reached is compared with all of its unit
         reached = large.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("unit", "rep", "members", "parts", F.coalesce("component", "rep").alias("component"))
-        main = reached.groupBy("unit", "component").count().groupBy("unit").agg(F.max_by("component", "count").alias("main"), F.ceil((F.sum("count") - F.max("count")) / PART).alias("blocks"))
-        compared = reached.join(main, "unit").where("blocks > 0")
+        main = reached.groupBy("unit", "component").count().groupBy("unit").agg(F.max_by("component", "count").alias("main"), F.ceil((F.sum("count") - F.max("count")) / PART).alias("blocks"), F.sum("count").alias("size"))
+        compared = of_groups(reached, cut(main.where("blocks > 0")), "unit")
         found = components(links.unionByName(_links(compared.where("component <> main"), compared, percent, matches)))
 
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("shingles", F.coalesce("component", "rep").alias("component"))

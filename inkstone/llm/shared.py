@@ -66,6 +66,17 @@ def _beside(edges: DataFrame, end: str, least: DataFrame) -> DataFrame:
     return others.unionByName(met.where("hub is not null").select("hi", "lo", F.col("hub_low").alias("low")))
 
 
+def of_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """The rows with the columns of their group's row, which tells in ``size`` how many rows the group has.
+
+    Groups of more than ``HUB_EDGES`` rows, the ``HUBS`` largest at most, are broadcast to the
+    rows, so the shuffled join of the others meets no hot key.
+    """
+    hubs = F.broadcast(groups.where(F.col("size") > HUB_EDGES).orderBy(F.desc("size"), key).limit(HUBS))
+    names = F.broadcast(hubs.select(key))
+    return rows.join(hubs, key).unionByName(rows.join(names, key, "left_anti").join(groups.join(names, key, "left_anti"), key)).drop("size")
+
+
 def _star(edges: DataFrame) -> DataFrame:
     """One round over edges (hi, lo), hi > lo: the large star, then the small star.
 

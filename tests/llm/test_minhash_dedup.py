@@ -83,6 +83,7 @@ def test_near_copies_and_chains(spark):
 
 def test_a_large_unit_is_cut_into_parts(spark, monkeypatch):
     monkeypatch.setattr(m, "PART", 8)
+    monkeypatch.setattr(shared, "HUB_EDGES", 20)  # the unit is broadcast to its members
     base = prose(21, 250)
     rows = [(k, edited(base, 3, k)) for k in range(50)]
     assert run(documents(spark, rows)) == brute(rows)

@@ -1,5 +1,7 @@
 import inspect
 import os
+import random
+import re
 
 import numpy as np
 
@@ -8,6 +10,7 @@ from inkstone.llm import minhash_dedup, mixing, quality_votes, secret_linking, t
 from inkstone.llm.textblocks import Block
 
 from .helpers import CLASHING, awkward, prose, table
+from .test_minhash_dedup import brute
 
 LABELS = "doc_id bigint, quality int, toxic int"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -96,6 +99,42 @@ def block(text):
     return Block(0, buf, np.array([0, len(buf)]), lower=True)
 
 
+def letters(r, n, vocabulary):
+    return [r.choice(vocabulary) for _ in range(n)]
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    """Near copies, leaks and secrets found by plain loops; what they leave, mixed, is what the pipeline returns."""
+    r = random.Random(77)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 9))) for _ in range(2000)]
+    base = {k: letters(r, r.randrange(40, 90), vocabulary) for k in range(70)}
+    for k in range(100, 130):  # near copies of near copies
+        words = list(r.choice(list(base.values())))
+        words[r.randrange(len(words))] = r.choice(vocabulary)
+        base[k] = words
+    items = [(k, " ".join(letters(r, 25, vocabulary))) for k in range(4)]
+    for k in range(200, 212):  # whole items, and parts of them
+        item = items[k % 4][1].split()
+        base[k] = letters(r, 20, vocabulary) + item[: 25 if k % 3 else 18] + letters(r, 20, vocabulary)
+    texts = {k: " ".join(w) + "." for k, w in base.items()}
+    for k in range(0, 70, 9):
+        texts[k] += f" password={r.randrange(10**8):08d} AKIA{r.randrange(10**16):016d}"
+    docs = [(k, t, "en", f"s{k % 3}", len(t)) for k, t in texts.items()]
+    labels = [(k, 1, 0) for k in range(0, 130, 2)] + [(k, 0, 0) for k in range(300, 330)]
+    junk = [(k, " | ".join(w + "%%%" for w in letters(r, 50, vocabulary)), "en", "s0", 0) for k in range(300, 340)]
+    write(spark, str(tmp_path), docs + junk, labels, items)
+
+    kept = {d for d, (_, _, stays) in brute([(k, t) for k, t in texts.items()]).items() if stays}
+    windows = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    clean = lambda t: [x for x in (re.sub("[^a-z0-9]", "", w.lower()) for w in t.split()) if x]
+    leaks = {d for d in kept for _, item in items if len(windows(clean(item)) & windows(clean(texts[d]))) >= 0.8 * len(windows(clean(item)))}
+    assert leaks and len(kept) < len(texts) - 20
+    masked = {d: re.sub(r"AKIA[0-9]{16}", "[access]", re.sub(r"password=[0-9]{8}", "[assign]", texts[d])) for d in kept - leaks}
+    expected = spark.createDataFrame([(d, t, "en", f"s{d % 3}", len(t)) for d, t in masked.items()], DOCS)
+    found = sorted(map(tuple, p.run(spark, str(tmp_path)).collect()))
+    assert found == sorted(map(tuple, mixing.mixture(expected).collect())) and len(found) > 60
+
+
 def test_clashing_columns_and_repeated_ids_survive_every_stage(spark, tmp_path):
     folder = str(tmp_path)
     docs, labels, items = corpus()
