@@ -208,6 +208,11 @@ SELECT o_orderkey, text || '2个。' AS text, hant || '2个。' AS hant FROM {_T
     # neutral syllables have no mark, so they are read without a tone; the suffix may be meant as well
     read = _values([(r[0], r[1], r[0] if r[1] == 5 else r[6], r[11], r[2], k) for k, r in enumerate(syllable_rows()) if r[1] is not None and not (r[1] == 5 and r[2])], "r(spelling, tone, read, yale, suffixed, place)")
     sql["read_candidates"] = f"""WITH r AS (SELECT * FROM {read}) SELECT yale, string_agg(read, ' ' ORDER BY suffixed, place) AS candidates FROM r WHERE yale IN (SELECT yale FROM {_SYLLABLES} s JOIN r USING (spelling, tone) WHERE NOT suffixed) GROUP BY 1"""
+    own = _values([(r["hans"], r["hant"], " ".join(numbers(sample.read(r["cn"]))), " ".join(numbers(sample.read(r["tw"]))) if r["tw"] else "", r["frequency"], r["pos"], "p" if r["proper"] else "", ",".join(" ".join(numbers(sample.read(x))) for x in r["alternates"])) for r in sample.rows()], "r(hans, hant, reading, tw, frequency, pos, flags, others)")
+    sql["stored_dictionary"] = f"""WITH r AS (SELECT * FROM {own}), k AS (SELECT hans AS key, 0 AS alias, * FROM r UNION ALL SELECT hant, 1, * FROM r WHERE hans <> hant),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY alias, frequency DESC, hans) AS n FROM k) WHERE n = 1),
+d AS (SELECT key, string_agg(o.reading, ' ' ORDER BY place) AS derived, count(o.reading) = max(length(p.key)) AS whole FROM (SELECT key, place, substr(key, CAST(place AS INT), 1) AS one FROM (SELECT key, unnest(range(1, length(key) + 1)) AS place FROM c WHERE length(key) > 1)) p LEFT JOIN (SELECT key AS one, reading FROM c WHERE length(key) = 1) o USING (one) GROUP BY 1)
+SELECT c.key, rtrim(concat_ws(chr(9), CASE WHEN whole AND derived = reading THEN '' ELSE reading END, tw, pos, flags, others), chr(9)) AS line, CAST(least(15, floor(ln(1 + frequency) * (15 / ln(1 + (SELECT max(frequency) FROM c))) + 0.5)) AS INT) AS bucket FROM c LEFT JOIN d ON d.key = c.key"""
     for name, system, column in (("convert", "pinyin", "pinyin"), ("convert_wade_giles", "wade_giles", "wade_giles"), ("convert_bopomofo", "bopomofo", "bopomofo")):
         sql[name] = _converted(_CHEAPEST_WORDS, system, column, f"RECURSIVE {_CHEAPEST}")
     sql["reading_locks"] = f"WITH c AS MATERIALIZED ({claims}) " + sql["reading_locks"]
