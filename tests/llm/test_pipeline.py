@@ -128,7 +128,7 @@ def test_run_against_brute_force(spark, tmp_path):
     windows = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
     clean = lambda t: [x for x in (re.sub("[^a-z0-9]", "", w.lower()) for w in t.split()) if x]
     leaks = {d for d in kept for _, item in items if len(windows(clean(item)) & windows(clean(texts[d]))) >= 0.8 * len(windows(clean(item)))}
-    assert leaks and len(kept) < len(texts) - 20
+    assert leaks and len(kept) < len(texts) - 10
     masked = {d: re.sub(r"AKIA[0-9]{16}", "[access]", re.sub(r"password=[0-9]{8}", "[assign]", texts[d])) for d in kept - leaks}
     expected = spark.createDataFrame([(d, t, "en", f"s{d % 3}", len(t)) for d, t in masked.items()], DOCS)
     found = sorted(map(tuple, p.run(spark, str(tmp_path)).collect()))
