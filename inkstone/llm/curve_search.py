@@ -14,8 +14,8 @@ more than ``CELL_ROWS`` rows by the sample (one key may hold a third of all) is
 cells of that size, and its queries into cells of ``CELL_QUERIES``, so what meets in a group
 is bounded. Each cell keeps a query's ``kept`` best by code, and of all cells the ``FINAL``
 best are reranked by the cosine of the original vectors in double precision; ties go to the
-smaller vec_id. Tables of at most ``2 * BLOCK_ROWS`` rows are one range, and so are searched
-whole.
+smaller vec_id. Tables of at most ``3 * BLOCK_ROWS`` rows are one range of one curve, and so
+are searched whole.
 
 Codes tell cosines apart that differ by more than about 0.002: among more than ``FINAL``
 vectors that are closer to each other than that, which are reranked is chance.
@@ -300,6 +300,8 @@ def search(embeddings: DataFrame, is_query, k: int = 5, curves: int = CURVES, bl
     rows = cut(rows.join(first, "vec_id", "left").select("vec_id", "embedding", F.coalesce("candidate", F.lit(False)).alias("candidate"), asks.alias("asks")).where("candidate or asks"))
     count, queries = rows.agg(F.count("*"), F.count_if("asks")).first()
 
+    if count <= 3 * block_rows:  # a query's three ranges would be all rows on every curve
+        curves = blocks = 1
     one_in = max(1, count // SAMPLE)
     sampled = rows.where(F.col("candidate") & (F.pmod(F.xxhash64("vec_id"), F.lit(one_in)) == 0)).mapInArrow(_keys(curves), "length int, keys binary")
     keys: dict[int, list[np.ndarray]] = defaultdict(list)
