@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import remainder, share_of_ones, training_sample
-from .textblocks import LOWER, Block, U, blocks, flat, mix, powers, rolling
+from .textblocks import LOWER, Block, U, blocks, mix, powers, rolling
 
 PER_CLASS, RANK, SHARPNESS, THRESHOLD = 3000, 32, 40.0, 0.3
 _CLASSES = 19
@@ -88,10 +88,20 @@ def word_slots(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labels, and the terms that are not zero with their places: what the driver gathers."""
     for batch in batches:
         for block in blocks(batch):
             y = batch.column("y").slice(block.first_row, block.n)
-            yield pa.RecordBatch.from_arrays([y, pa.array([x.tobytes() for x in terms(block)], pa.binary())], ["y", "terms"])
+            own = [(np.flatnonzero(x), x) for x in terms(block)]
+            yield pa.RecordBatch.from_arrays([y, pa.array([at.astype(np.uint16).tobytes() for at, _ in own], pa.binary()), pa.array([x[at].tobytes() for at, x in own], pa.binary())], ["y", "places", "terms"])
+
+
+def _matrix(rows: pa.Table) -> np.ndarray:
+    """The terms of gathered rows, a row for each."""
+    x = np.zeros((rows.num_rows, TERMS), np.float32)
+    for own, places, found in zip(x, rows.column("places"), rows.column("terms"), strict=True):
+        own[np.frombuffer(places.as_py(), np.uint16)] = np.frombuffer(found.as_py(), np.float32)
+    return x
 
 
 class Votes:
@@ -109,18 +119,19 @@ class Votes:
         weighted -= self.mean
         _, axes = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))  # the right singular vectors, in little memory
         self.axes = axes[:, ::-1][:, : min(RANK, len(x))].astype(np.float32)
-        del weighted
-        vectors, some = self.latent(x)
-        self.vectors, y = vectors[some], y[some]
+        some = x.any(axis=1)
+        self.vectors, y = self._placed(weighted)[some], y[some]
         parts = np.array([1 - share, share])
         number = np.bincount(y, minlength=2)
         self.votes = (parts[y] / np.maximum(number[y], 1)).astype(np.float32)
         self.ones = y == 1
 
+    def _placed(self, weighted: np.ndarray) -> np.ndarray:
+        v = weighted @ self.axes
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+
     def latent(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        some = x.any(axis=1)
-        v = (x * self.weight - self.mean) @ self.axes
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9), some
+        return self._placed(x * self.weight - self.mean), x.any(axis=1)
 
     def score(self, x: np.ndarray, block: int = 512) -> np.ndarray:
         out = np.full(len(x), self.share)
@@ -137,10 +148,8 @@ class Votes:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Votes:
     allowed = remainder(5) != 0
-    rows = training_sample(docs, labels, "quality", allowed, per_class).select("text", "y").mapInArrow(_features, "y int, terms binary").toArrow()
-    raw, off = flat(rows.column("terms"))
-    x = raw[off[0] : off[-1]].view(np.float32).reshape(-1, TERMS)
-    return Votes(x, rows.column("y").to_numpy().astype(np.int64), share_of_ones(labels, "quality", allowed))
+    rows = training_sample(docs, labels, "quality", allowed, per_class).select("text", "y").mapInArrow(_features, "y int, places binary, terms binary").toArrow()
+    return Votes(_matrix(rows), rows.column("y").to_numpy().astype(np.int64), share_of_ones(labels, "quality", allowed))
 
 
 def scored(docs: DataFrame, model: Votes, name: str = "score") -> DataFrame:

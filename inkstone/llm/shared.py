@@ -5,10 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HUB_EDGES, HUBS = 1000, 100_000
+#: So many edges at most (3.2 MB) are made stars by the driver; more take the rounds below.
+DRIVER_EDGES = 200_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -97,24 +101,52 @@ def _settled(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1").isEmpty()
 
 
+def stars(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges as stars: each node but the least of its component, and that least one.
+
+    Roots hook to the least root beside them and trees are flattened, so the number of
+    roots halves every two turns at least.
+    """
+    nodes, at = np.unique(np.concatenate([hi, lo]), return_inverse=True)
+    a, b = at[: len(hi)], at[len(hi) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, np.maximum(root[a], root[b]), low)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    upper = root != np.arange(len(nodes))
+    return nodes[upper], nodes[root[upper]]
+
+
 def components(edges: DataFrame, rounds: list | None = None) -> DataFrame:
     """(node, component): the smallest node that each node of the edges (a, b) can reach.
 
     Alternating large and small stars rewrite the edges until they are stars, which takes
     about log(nodes) rounds whatever the order of the ids along a path; there is no limit to
     the rounds. A round's edges are a table of the shared folder, and the round before goes
-    once it is written. Nodes whose only edges are loops are not listed. ``rounds`` collects
-    the numbers of edges.
+    once it is written. As soon as ``DRIVER_EDGES`` edges or fewer are left, the driver makes
+    them stars: a round is a dozen stages, which a cluster of many partitions feels in its
+    driver. Nodes whose only edges are loops are not listed. ``rounds`` collects the numbers
+    of edges.
     """
     spark = edges.sparkSession
     a, b = F.col("a").cast("bigint"), F.col("b").cast("bigint")
     base = folder(spark, "components")
     now = written(edges.where("a <> b").select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), f"{base}/0")
-    turn = 0
-    while not _settled(now):
+    turn, number = 0, now.count()
+    while number > DRIVER_EDGES and not _settled(now):
         turn += 1
         now = written(_star(now), f"{base}/{turn}")
         remove(spark, f"{base}/{turn - 1}")
+        number = now.count()
         if rounds is not None:
-            rounds.append(now.count())
+            rounds.append(number)
+    if 0 < number <= DRIVER_EDGES:
+        left = now.toArrow()
+        hi, lo = stars(left.column("hi").to_numpy(), left.column("lo").to_numpy())
+        now = written(spark.createDataFrame(pa.table({"hi": hi, "lo": lo})), f"{base}/{turn + 1}")
+        remove(spark, f"{base}/{turn}")
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from inkstone.llm import quality_votes, toxicity_kernel
@@ -167,6 +168,17 @@ def test_words_are_hashed_without_marks_and_case():
     assert not row("%%% | !!!").any()
 
 
+def test_terms_are_gathered_without_zeros():
+    q = quality_votes
+    texts = [prose(k, 60, 90) for k in range(20)] + ["", "x"]
+    batch = pa.RecordBatch.from_pydict({"y": [k % 2 for k in range(22)], "text": texts})
+    rows = pa.Table.from_batches(list(q._features(iter([batch]))))
+    raw = [t.encode() for t in texts]
+    whole = q.terms(Block(0, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])))
+    assert np.array_equal(q._matrix(rows), whole) and rows.column("y").to_pylist() == [k % 2 for k in range(22)]
+    assert rows.nbytes < whole.nbytes / 4
+
+
 def test_votes_are_exact_cosines():
     r = np.random.default_rng(1)
     x, y = np.abs(r.standard_normal((60, quality_votes.TERMS))).astype(np.float32), r.integers(0, 2, 60)

@@ -158,6 +158,32 @@ def test_components_match_brute_force_on_random_graphs(spark, monkeypatch, hub_e
     assert found == {n: top(n) for n in some}
 
 
+def test_few_edges_take_no_rounds(spark):
+    nodes = random.Random(3).sample(range(10**12), 501)
+    rounds = []
+    found = components(spark.createDataFrame(list(zip(nodes, nodes[1:])), "a bigint, b bigint"), rounds).collect()
+    assert {r.node: r.component for r in found} == dict.fromkeys(nodes, min(nodes)) and len(found) == len(nodes)
+    assert rounds == []
+
+
+@pytest.mark.parametrize("driver_edges,hub_edges", [(0, 1000), (0, 3), (20, 1000)])
+def test_rounds_find_what_the_driver_finds(spark, monkeypatch, driver_edges, hub_edges):
+    r = random.Random(11)
+    path = [0, *range(1500, 1000, -1)]
+    pairs = [(r.randrange(400), r.randrange(400)) for _ in range(220)] + [(7, 400 + k) for k in range(100)] + list(zip(path, path[1:])) + [(2000, 2000)]
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint")
+    found = sorted(components(edges).collect())
+    monkeypatch.setattr(shared, "HUB_EDGES", hub_edges)
+    monkeypatch.setattr(shared, "DRIVER_EDGES", driver_edges)
+    rounds = []
+    assert sorted(components(edges, rounds).collect()) == found
+    assert 1 <= len(rounds) <= 20
+
+
+def test_components_without_edges(spark):
+    assert components(spark.createDataFrame([(3, 3)], "a bigint, b bigint")).collect() == []
+
+
 def test_a_drifting_chain_with_adverse_ids(spark):
     text, rows = prose(31, 150, 5000), []
     r = random.Random(5)
