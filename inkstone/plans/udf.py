@@ -18,7 +18,11 @@ CHOICE = "struct<source:string,to:string,evidence:string,alternatives:array<stri
 
 
 class Texts:
-    """Operators over texts, for one dictionary. Null texts give nulls."""
+    """Operators over texts, for one dictionary. Null texts give nulls.
+
+    Columns are marked as not deterministic, though they are: otherwise a filter on one (an
+    explode brings its own) is moved below what made texts distinct, and decodes every row.
+    """
 
     def __init__(self, spark: SparkSession, dictionary: Dictionary, tables: c.ScriptTables | None = None):
         self._held = spark.sparkContext.broadcast((dictionary, tables or c.ScriptTables()))
@@ -36,7 +40,7 @@ class Texts:
                 out.append(None if v is None else known[v])
             return pd.Series(out, dtype=object)
 
-        return run(text)
+        return run.asNondeterministic()(text)
 
     def pinyin(self, text: Column, method: str = "lattice", **options) -> Column:
         own = c.Options(**options)

@@ -304,12 +304,21 @@ def confidence_claims(spark, sf_dir):
 
 
 # ---- whole texts ----------------------------------------------------------------------
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).withColumn("text", F.concat("text", F.lit("2个。")))
+
+
+def _decoded_once(spark: SparkSession, sf_dir: str, column: Callable[[Texts, Column], Column], name: str, with_scripts: bool = False) -> DataFrame:
+    """(text, orders, name): each distinct text, how many orders have it, and what is read from it; counted where the rows lie, so no row is moved for it."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # decoding is the work, so its rows are spread whatever their bytes
+    met = _written(spark, sf_dir).groupBy("text").agg(F.count("*").alias("orders"))
+    return met.repartition(n, "text").withColumn(name, column(_operators(spark, with_scripts), F.col("text")))
+
+
 def _decoded(spark: SparkSession, sf_dir: str, column: Callable[[Texts, Column], Column], name: str, with_scripts: bool = False) -> DataFrame:
     """Each distinct text is decoded once and joined back."""
-    texts = _texts(spark, sf_dir).withColumn("text", F.concat("text", F.lit("2个。")))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # decoding is the work, so its rows are spread whatever their bytes
-    done = texts.select("text").repartition(n, "text").distinct().withColumn(name, column(_operators(spark, with_scripts), F.col("text")))
-    return texts.join(done, "text").select("o_orderkey", "text", name)
+    done = _decoded_once(spark, sf_dir, column, name, with_scripts)
+    return _written(spark, sf_dir).join(done, "text").select("o_orderkey", "text", name)
 
 
 @_query
@@ -356,7 +365,8 @@ def script_to_hant(spark, sf_dir):
 
 @_query
 def script_choices(spark, sf_dir):
-    return _decoded(spark, sf_dir, lambda t, c: t.script_choices(c, "zh-Hant"), "choices", with_scripts=True).select(F.explode("choices.evidence").alias("evidence")).groupBy("evidence").agg(F.count("*").alias("n"))
+    found = _decoded_once(spark, sf_dir, lambda t, c: t.script_choices(c, "zh-Hant"), "choices", with_scripts=True)
+    return found.select("orders", F.explode("choices.evidence").alias("evidence")).groupBy("evidence").agg(F.sum("orders").alias("n"))
 
 
 @_query

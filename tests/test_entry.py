@@ -1,3 +1,4 @@
+import collections
 import importlib
 import re
 from pathlib import Path
@@ -59,6 +60,40 @@ def test_a_text_is_decoded_once(spark):
     assert re.search("Aggregate|Deduplicate|Distinct", below)  # made distinct before
 
 
+DECODING = "convert convert_greedy convert_taiwan convert_pieces convert_html convert_wade_giles convert_bopomofo script_to_hant script_choices slug_hash".split()
+
+
+def _decoded_below(df):
+    """The plan below the only decoding of it."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("ArrowEvalPython", plan)) == 1
+    return plan[plan.index("ArrowEvalPython") :]
+
+
+@pytest.mark.parametrize("name", DECODING)
+def test_texts_are_made_distinct_before_they_are_moved_and_decoded(spark, name):
+    below = _decoded_below(entry.engine.queries()[name](spark, TINY))
+    assert re.search(r"RepartitionByExpression.*\n\W*Aggregate", below)
+
+
+def test_a_filter_on_what_is_decoded_decodes_nothing_again(spark):
+    decoded = entry.engine._decoded(spark, TINY, lambda t, c: t.pinyin(c), "pinyin")
+    assert "Aggregate" in _decoded_below(decoded.where("length(pinyin) > 12"))
+
+
+def test_script_choices_counts_every_order(spark):
+    from inkstone.plans import convert
+
+    query = entry.engine.queries()["script_choices"](spark, TINY)
+    assert "Join" not in query._jdf.queryExecution().optimizedPlan().toString()
+    own = entry.engine
+    tables = own.script_tables.collected(own.script_tables.build(own.dictionaries.sample_entries(spark)))
+    dictionary, counts = own.sample.dictionary(), collections.Counter()
+    for r in own._texts(spark, TINY).collect():
+        counts.update(x.evidence for x in convert.to_script(dictionary, tables, r.text + "2个。", "zh-Hant")[1])
+    assert {r.evidence: r.n for r in query.collect()} == counts
+
+
 def test_nothing_imports_the_training_data_part():
     root = Path(entry.__file__).parent
     files = [f for f in (root / "inkstone").rglob("*.py") if "llm" not in f.relative_to(root).parts]
