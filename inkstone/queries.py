@@ -311,7 +311,8 @@ def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _decoded_once(spark: SparkSession, sf_dir: str, column: Callable[[Texts, Column], Column], name: str, with_scripts: bool = False) -> DataFrame:
     """(text, orders, name): each distinct text, how many orders have it, and what is read from it; counted where the rows lie, so no row is moved for it."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # decoding is the work, so its rows are spread whatever their bytes
-    met = _written(spark, sf_dir).groupBy("text").agg(F.count("*").alias("orders"))
+    # the length tells no more texts apart, but without it this exchange would stand for the next one and be coalesced
+    met = _written(spark, sf_dir).groupBy("text", F.length("text").alias("length")).agg(F.count("*").alias("orders")).drop("length")
     return met.repartition(n, "text").withColumn(name, column(_operators(spark, with_scripts), F.col("text")))
 
 
